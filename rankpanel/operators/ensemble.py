@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankpanel.operators.ordering import average_ranks, exact_quantiles, group_sizes, row_numbers
+from rankpanel.session import join_small
 
 EVENT = ["Year", "Race_Num"]
 
@@ -139,7 +140,7 @@ def blend(
     wide = df
     if segment_weights is not None:
         side = segment_weights.select(*segments, *[F.col(f"w_{m}").alias(f"_w_{m}") for m in models])
-        wide = df.join(side, list(segments), "left")
+        wide = join_small(df, side, list(segments), "segment-weights")
         w = [F.coalesce(F.col(f"_w_{m}"), x) for m, x in zip(models, w, strict=True)]
     total, norm = F.lit(0.0), F.lit(0.0)
     for m, x in zip(models, w, strict=True):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rankpanel.functions.columns import day_clock_seconds, with_suffix
 from rankpanel.operators.ordering import average_ranks, exact_quantiles, group_sizes
 from rankpanel.operators.timeline import Ewm, Frame, lagged_ewm, lagged_frames
-from rankpanel.session import materialize, max_group_rows
+from rankpanel.session import join_small, materialize, max_group_rows
 
 EVENT = ["Year", "Race_Num"]
 METRICS = ("Position", "Quali_Pos", "DNF")
@@ -72,13 +72,12 @@ def _frames(lag: Lag, team: bool) -> list[Frame]:
     raise ValueError(lag.kind)
 
 
-def _finish(lag: Lag, team: bool) -> Column:
+def _finish(lag: Lag, team: bool) -> str:
     if lag.kind == "mean" and team:
-        return F.try_divide(F.col(f"_s_{lag.out}"), F.nullif(F.col(f"_n_{lag.out}"), F.lit(0))).alias(lag.out)
+        return f"try_divide(`_s_{lag.out}`, nullif(`_n_{lag.out}`, 0)) AS `{lag.out}`"
     if lag.kind == "points":
-        total = F.when(F.col(f"_p_{lag.out}").isNotNull(), F.col(f"_t_{lag.out}"))
-        return F.coalesce(total.cast("double"), F.lit(0.0)).alias(lag.out)
-    return F.col(lag.out).cast("double").alias(lag.out)
+        return f"coalesce(CASE WHEN `_p_{lag.out}` IS NOT NULL THEN CAST(`_t_{lag.out}` AS DOUBLE) END, 0D) AS `{lag.out}`"
+    return f"CAST(`{lag.out}` AS DOUBLE) AS `{lag.out}`"
 
 
 def history_sizes(df: DataFrame, entity: str, events: int | None = None) -> tuple[int, int]:
@@ -104,11 +103,12 @@ def _apply(df: DataFrame, entity: str, lags: Sequence[Lag], team: bool, events:
             if lag.scope == scope and lag.kind == "ewm"
         ]
         known = sizes if not scope else small
-        if frames:
-            df = lagged_frames(df, keys, frames, EVENT, known)
+        # weighted means need the most helper columns, so they run on the narrowest rows
         if ewms:
             df = lagged_ewm(df, keys, ewms, EVENT, known)
-    return df.select(*keep, *[_finish(lag, team) for lag in lags])
+        if frames:
+            df = lagged_frames(df, keys, frames, EVENT, known)
+    return df.selectExpr(*[f"`{c}`" for c in keep], *[_finish(lag, team) for lag in lags])
 
 
 def driver_history(df: DataFrame, lags: Sequence[Lag], events: int | None = None) -> DataFrame:
@@ -130,7 +130,8 @@ def team_history(
     )
     history = _apply(per_event, "Team", lags, team=True, events=events) if lags else per_event
     outs = [*(lag.out for lag in lags), *(best or {})]
-    return df.join(history.select("Team", *EVENT, *outs), ["Team", *EVENT], "left").select(*df.columns, *outs)
+    side = history.select("Team", *EVENT, *outs)
+    return join_small(df, side, ["Team", *EVENT], "team-history").select(*df.columns, *outs)
 
 
 def rolling_lags(entity: str, metrics: Sequence[str] = METRICS, windows: dict[str, int] = WINDOWS) -> list[Lag]:
@@ -174,19 +175,26 @@ def circuit_attributes(df: DataFrame, circuits: DataFrame, attributes: Sequence[
     """Numeric attributes per circuit; unknown ones get the row-weighted median, else 0.
 
     The panel is counted per circuit once; medians and fills happen on that
-    small table, which is then joined back.
+    table, which is then joined back.
     """
     rows = df.groupBy("Circuit").agg(F.count(F.lit(1)).alias("_rows"))
-    known = circuits.select(with_suffix(F.col("Circuit")).alias("_name"), *attributes)
-    present = rows.withColumn("_name", with_suffix(F.col("Circuit"))).join(known, "_name", "left")
-    doubles = [F.col(a).cast("double").alias(a) for a in attributes]
-    long = present.select("_rows", *doubles).unpivot("_rows", list(attributes), "attribute", "value")
-    medians = exact_quantiles(long, "value", {"median": 0.5}, ["attribute"], weight="_rows")
-    wide = medians.agg(*[F.max(F.when(F.col("attribute") == a, F.col("median"))).alias(a) for a in attributes])
-    filled = present.select(
-        "Circuit", *[F.coalesce(F.col(a).cast("double"), wide.select(a).scalar(), F.lit(0.0)).alias(a) for a in attributes]
+    known = circuits.select(
+        with_suffix(F.col("Circuit")).alias("_name"), *[F.col(a).cast("double").alias(a) for a in attributes]
     )
-    return df.join(filled, "Circuit", "left").select(*df.columns, *attributes)
+    present = materialize(rows.withColumn("_name", with_suffix(F.col("Circuit"))).join(known, "_name", "left"), "circuits")
+    medians = _weighted_medians(present, attributes)
+    filled = present.select("Circuit", *[F.coalesce(F.col(a), F.lit(medians.get(a) or 0.0)).alias(a) for a in attributes])
+    return join_small(df, filled, ["Circuit"], "circuit-attributes").select(*df.columns, *attributes)
+
+
+def _weighted_medians(present: DataFrame, attributes: Sequence[str]) -> dict[str, float]:
+    """Medians per attribute; one number per attribute reaches the driver."""
+    if present.count() <= max_group_rows(present.sparkSession):
+        row = present.agg(*[F.percentile(a, F.lit(0.5), F.col("_rows")).alias(a) for a in attributes]).first()
+        return row.asDict()
+    long = present.unpivot("_rows", list(attributes), "attribute", "value")
+    medians = exact_quantiles(long, "value", {"median": 0.5}, ["attribute"], weight="_rows")
+    return {r["attribute"]: r["median"] for r in medians.collect()}
 
 
 def circuit_clusters(df: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
@@ -215,7 +223,7 @@ def cluster_aggregates(df: DataFrame) -> DataFrame:
         return df
     outs = {"Cluster_Avg_SC_Prob": "SC_Probability", "Cluster_Avg_Overtake": "Overtake_Difficulty", "Cluster_Avg_PitLoss": "Pit_Loss_Time"}
     means = df.groupBy("Circuit_Cluster").agg(*[F.avg(c).alias(o) for o, c in outs.items()])
-    return df.join(means, "Circuit_Cluster", "left").select(*df.columns, *outs)
+    return join_small(df, means, ["Circuit_Cluster"], "cluster-means").select(*df.columns, *outs)
 
 
 def team_form_gap(df: DataFrame) -> DataFrame:
@@ -290,7 +298,7 @@ def quali_gap_to_pole(df: DataFrame) -> DataFrame:
         return df
     best = df.groupBy(*EVENT).agg(F.min("Quali_Time_s").alias("_pole"))
     gap = F.col("Quali_Time_s") - F.col("_pole")
-    return df.join(best, EVENT, "left").select(
+    return join_small(df, best, EVENT, "event-best").select(
         *df.columns,
         gap.alias("Quali_Gap_To_Pole"),
         F.try_divide(gap, F.nullif(F.col("_pole"), F.lit(0.0))).alias("Quali_Gap_Pct"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankpanel.operators.ordering import exact_quantiles, row_numbers
+from rankpanel.session import join_small
 from rankpanel.sources.tables import event_dimension
 
 EVENT = ["Year", "Race_Num"]
@@ -27,7 +28,7 @@ def holdout_split(df: DataFrame, holdout_years: Sequence[int] = (), test_size: f
         events = event_dimension(df)
         cut = F.floor(events.agg(F.max("event_idx")).scalar() * F.lit(1.0 - test_size))
         sides = events.select(*EVENT, F.when(F.col("event_idx") > cut, "test").otherwise("train").alias("split"))
-        return df.join(sides, EVENT, "left").select(*df.columns, "split")
+        return join_small(df, sides, EVENT, "sides").select(*df.columns, "split")
     share = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(10_000)) / 10_000
     return df.withColumn("split", F.when(share < test_size, "test").otherwise("train"))
 
@@ -75,7 +76,7 @@ def fold_events(
 
 
 def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
-    return df.join(folds, EVENT)
+    return join_small(df, folds, EVENT, "folds", "inner")
 
 
 def group_counts(df: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def event_zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stats = df.groupBy(*EVENT).agg(
         *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
     )
-    joined = df.join(stats, EVENT, "left")
+    joined = join_small(df, stats, EVENT, "event-stats")
     z = {c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))) for c in columns}
     return joined.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 

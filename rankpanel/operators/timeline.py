@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpanel.operators.ordering import group_sizes, row_numbers
@@ -39,6 +39,25 @@ class Frame:
 _AGGS = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max}
 
 
+def names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
+def window(keys: Sequence[str], order: Sequence[str], frame: str = "") -> str:
+    partition = f"PARTITION BY {names(keys)} " if keys else ""
+    return f"({partition}ORDER BY {names(order)} {frame})"
+
+
+PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+UP_TO_NOW = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def over(f: Frame, keys: Sequence[str], order: Sequence[str]) -> str:
+    """The frame as SQL text: many columns parse faster than they build call by call."""
+    rows = f"ROWS BETWEEN {f.rows} PRECEDING AND 1 PRECEDING" if f.rows else PAST
+    return f"{f.agg}(`{f.source}`) OVER {window(keys, order, rows)}"
+
+
 def lagged_frames(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,16 +70,7 @@ def lagged_frames(
     largest, total = sizes or group_sizes(df, keys)
     limit = max_group_rows(df.sparkSession)
     if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(
-            "*",
-            *[
-                _AGGS[f.agg](f.source)
-                .over(w.rowsBetween(-f.rows if f.rows else Window.unboundedPreceding, -1))
-                .alias(f.out)
-                for f in frames
-            ],
-        )
+        return df.selectExpr("*", *[f"{over(f, keys, order)} AS `{f.out}`" for f in frames])
     return _lagged_in_blocks(df, keys, frames, order, (largest, total), limit)
 
 
@@ -121,16 +131,16 @@ class Ewm:
     span: float
 
 
-def _step(x: Column, gap: Column, alpha: float) -> tuple[Column, Column]:
-    """Log decay and input of one recurrence step ``m = exp(decay) * m + input``.
+def _step(x: str, gap: str, alpha: float) -> tuple[str, str]:
+    """Log decay and input of one recurrence step ``m = exp(decay) * m + input``, as SQL text.
 
     A value that follows its predecessor by ``gap`` rows meets an old weight of
     ``(1 - alpha) ** gap``; the first value of a history (gap null) starts it.
     """
-    keep = math.log1p(-alpha)
-    den = F.exp(gap * F.lit(keep)) + F.lit(alpha)
-    decay = F.when(x.isNotNull() & gap.isNotNull(), gap * F.lit(keep) - F.log(den)).otherwise(F.lit(0.0))
-    value = F.when(x.isNull(), F.lit(0.0)).when(gap.isNull(), x).otherwise(F.lit(alpha) * x / den)
+    keep = f"{gap} * {math.log1p(-alpha)!r}D"
+    den = f"(exp({keep}) + {alpha!r}D)"
+    decay = f"CASE WHEN {x} IS NOT NULL AND {gap} IS NOT NULL THEN {keep} - ln({den}) ELSE 0D END"
+    value = f"CASE WHEN {x} IS NULL THEN 0D WHEN {gap} IS NULL THEN {x} ELSE {alpha!r}D * {x} / {den} END"
     return decay, value
 
 
@@ -159,28 +169,30 @@ def lagged_ewm(
 
 
 def _ewm_one_window(df, keys, ewms, order):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    """Row number, last row with a value, log decay and weighted sum: four window stages, one sort."""
+    past, now = window(keys, order, PAST), window(keys, order, UP_TO_NOW)
     metrics = list(dict.fromkeys(e.source for e in ewms))
-    seq = df.select("*", F.row_number().over(w).alias("_seq"))
-    last = seq.select("*", *[F.max(F.when(F.col(m).isNotNull(), F.col("_seq"))).over(past).alias(f"_last_{m}") for m in metrics])
-    steps = []
-    for i, e in enumerate(ewms):
-        x = F.col(e.source).cast("double")
-        gap = (F.col("_seq") - F.col(f"_last_{e.source}")).cast("double")
-        decay, value = _step(x, gap, 2.0 / (e.span + 1))
-        steps += [decay.alias(f"_d{i}"), value.alias(f"_b{i}")]
-    stepped = last.select("*", *steps)
-    logs = stepped.select("*", *[F.sum(f"_d{i}").over(upto).alias(f"_l{i}") for i in range(len(ewms))])
-    outs = [
-        F.when(
-            F.col(f"_last_{e.source}").isNotNull(),
-            F.exp(F.sum(f"_d{i}").over(past)) * F.sum(F.col(f"_b{i}") * F.exp(-F.col(f"_l{i}"))).over(past),
-        ).alias(e.out)
-        for i, e in enumerate(ewms)
-    ]
-    return logs.select(*df.columns, *outs)
+    n = range(len(ewms))
+    steps = [_step(f"_x_{e.source}", f"_gap_{e.source}", 2.0 / (e.span + 1)) for e in ewms]
+    out = (
+        df.selectExpr(
+            "*",
+            f"row_number() OVER {window(keys, order)} AS _seq",
+            *[f"CAST(`{m}` AS DOUBLE) AS `_x_{m}`" for m in metrics],
+        )
+        .selectExpr("*", *[f"max(CASE WHEN `_x_{m}` IS NOT NULL THEN _seq END) OVER {past} AS `_last_{m}`" for m in metrics])
+        .selectExpr("*", *[f"CAST(_seq - `_last_{m}` AS DOUBLE) AS `_gap_{m}`" for m in metrics])
+        .selectExpr("*", *[f"{d} AS _d{i}" for i, (d, _) in enumerate(steps)], *[f"{v} AS _b{i}" for i, (_, v) in enumerate(steps)])
+        .selectExpr("*", *[f"sum(_d{i}) OVER {now} AS _l{i}" for i in n])
+        .selectExpr("*", *[f"_b{i} * exp(-_l{i}) AS _t{i}" for i in n])
+    )
+    return out.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[
+            f"CASE WHEN `_last_{e.source}` IS NOT NULL THEN exp(sum(_d{i}) OVER {past}) * sum(_t{i}) OVER {past} END AS `{e.out}`"
+            for i, e in enumerate(ewms)
+        ],
+    )
 
 
 def _ewm_segments(df, keys, ewms, order, sizes):
@@ -201,11 +213,10 @@ def _ewm_segments(df, keys, ewms, order, sizes):
         valued = out.where(F.col(m).isNotNull()).select(
             *keys, "_seq", F.col(m).cast("double").alias("_x"), (F.col("_seq") - F.col(f"_last_{m}")).cast("double").alias("_gap")
         )
-        steps = []
-        for i, e in enumerate(mine):
-            decay, value = _step(F.col("_x"), F.col("_gap"), 2.0 / (e.span + 1))
-            steps += [decay.alias(f"_d{i}"), value.alias(f"_b{i}")]
-        stepped = valued.select("*", *steps)
+        steps = [_step("_x", "_gap", 2.0 / (e.span + 1)) for e in mine]
+        stepped = valued.selectExpr(
+            "*", *[f"{d} AS _d{i}" for i, (d, _) in enumerate(steps)], *[f"{v} AS _b{i}" for i, (_, v) in enumerate(steps)]
+        )
         logs = lagged_frames(stepped, keys, [Frame(f"_l{i}", "sum", f"_d{i}") for i in range(len(mine))], ["_seq"], sizes)
         means = None
         for i, e in enumerate(mine):

@@ -18,6 +18,7 @@ from rankpanel.functions.columns import FINISHED_STATUSES, dnf_flag
 from rankpanel.operators import features as ft
 from rankpanel.operators.clean import coerce, ensure_columns, left_join_coalescing
 from rankpanel.operators.store import latest_by
+from rankpanel.session import join_small
 
 log = logging.getLogger(__name__)
 
@@ -77,7 +78,7 @@ def _circuit(df: DataFrame, inputs: FeatureInputs) -> DataFrame:
     if "Circuit_Cluster" in df.columns:
         return df
     clusters = inputs.clusters if inputs.clusters is not None else ft.circuit_clusters(df, inputs.num_clusters)
-    return df.join(clusters, "Circuit", "left").select(*df.columns, "Circuit_Cluster")
+    return join_small(df, clusters, ["Circuit"], "clusters").select(*df.columns, "Circuit_Cluster")
 
 
 def _present(metrics: Sequence[str], have: set[str]) -> list[str]:
@@ -101,9 +102,8 @@ STEPS: dict[str, Step] = {
     "quali_time": Step(before=lambda df, i: ft.quali_seconds(df), after=ft.quali_gap_to_pole),
     "grid_uplift": Step(
         needs=("Grid", "Position"),
-        before=lambda df, i: ft.grid_delta(df),
+        before=lambda df, i: ft.adjusted_grid_delta(ft.grid_delta(df)),
         lags=lambda e, i, have: ft.uplift_lags(e) if "Circuit_Cluster" in have else [],
-        after=ft.adjusted_grid_delta,
     ),
     "championship": Step(needs=("Points",), lags=lambda e, i, have: ft.championship_lags(e)),
     "interactions": Step(after=ft.interactions),

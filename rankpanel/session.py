@@ -1,10 +1,12 @@
 """Session settings and materialisation.
 
-Three settings are read from the session, never written:
+Four settings are read from the session, never written:
 
 * ``spark.checkpoint.dir`` - shared folder for tables that cut lineage;
 * ``spark.rankpanel.maxGroupRows`` - rows one window group may hold before the
   operators switch to block-wise plans (default 1,000,000);
+* ``spark.rankpanel.maxBroadcastCells`` - rows times columns a table may have to
+  be broadcast after its rows were counted (default 4,000,000);
 * ``spark.sql.shuffle.partitions`` - lower bound for range partitioning.
 """
 
@@ -14,8 +16,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_CELLS = 4_000_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -71,3 +75,15 @@ def max_group_rows(spark: SparkSession) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def join_small(df: DataFrame, side: DataFrame, keys: list[str], label: str, how: str = "left") -> DataFrame:
+    """Join a per-group table, which is written once and counted first.
+
+    Within the checked size it is broadcast, so the large side keeps its
+    partitioning. Beyond it Spark chooses the join, and splits skewed keys.
+    """
+    side = materialize(side, label)
+    limit = int(df.sparkSession.conf.get("spark.rankpanel.maxBroadcastCells", str(DEFAULT_MAX_BROADCAST_CELLS)))
+    small = side.count() * len(side.columns) <= limit
+    return df.join(F.broadcast(side) if small else side, keys, how)

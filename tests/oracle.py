@@ -68,6 +68,7 @@ def main() -> int:
     spark = build_session("oracle", "8")
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("GROUP_LIMIT"):
+        spark.conf.set("spark.rankpanel.maxBroadcastCells", "0")
         spark.conf.set("spark.rankpanel.maxGroupRows", os.environ["GROUP_LIMIT"])
     con = connect(sf_dir)
     bad = 0
