@@ -66,7 +66,8 @@ def check_inputs(predictions: DataFrame, sc_probability: float, required: tuple[
         raise ValueError(f"missing columns: {missing}")
     if not 0.0 <= sc_probability <= 1.0:
         raise ValueError("sc_probability must be in [0, 1]")
-    row = predictions.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.isnan("Predicted_Race_Pos"), 1)).alias("ok")).first()
+    usable = F.col("Predicted_Race_Pos").isNotNull() & ~F.isnan("Predicted_Race_Pos")
+    row = predictions.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(usable, 1)).alias("ok")).first()
     if row["n"] == 0:
         raise ValueError("no predictions")
     if row["ok"] == 0:
