@@ -18,10 +18,10 @@ from rankpanel.streaming import ingest
     ),
 )
 def s1(spark, sf):
-    """Qualifying of two of three rounds arrives as one file per round."""
+    """Qualifying of two of three rounds arrives in files that split the events."""
     landing, out, check = (scratch_path(spark, x) for x in ("landing", "refreshed", "stream"))
     actual = qualifying(spark, sf).where("Race_Num % 3 <> 0").select(*ROW_KEY, F.col("Position").alias("Quali_Pos"))
-    actual.repartition("Race_Num").write.parquet(landing)
+    actual.repartition(6, "Driver").write.parquet(landing)
     roster = results(spark, sf).select(*ROW_KEY, "Team")
     predicted = predictions(spark, sf).select(*ROW_KEY, F.col("p3").alias("Quali_Pos"))
     ingest.refresh_predictions(spark, landing, actual.schema, roster, predicted, out, check, max_files=4)
@@ -50,12 +50,11 @@ def s2(spark, sf):
 )
 def s3(spark, sf):
     """Seasons arrive in order; the state carries form across them."""
-    landing, out, check = (scratch_path(spark, x) for x in ("landing", "form", "stream"))
+    landing, out, state, check = (scratch_path(spark, x) for x in ("landing", "form", "state", "stream"))
     rows = results(spark, sf).select("Year", "Driver", (F.col("Year") * 100 + F.col("Race_Num")).cast("long").alias("seq"), "Position")
     years = [r["Year"] for r in rows.select("Year").distinct().orderBy("Year").collect()]
     for year in years:
         rows.where(F.col("Year") == year).drop("Year").write.parquet(f"{landing}/{year}")
         stream = spark.readStream.schema("Driver long, seq long, Position double").parquet(f"{landing}/*")
-        job = ingest.online_form(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
-        job.trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.read.parquet(out))
+        ingest.online_form(stream, out, state, check)
+    return rounded(spark.read.parquet(out).drop("batch"))

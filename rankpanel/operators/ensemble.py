@@ -75,6 +75,7 @@ def correlation(a: str, b: str) -> Column:
 
 def event_rank_correlation(df: DataFrame, target: str, pred: str, keys: Sequence[str], sizes=None, min_rows: int = 3) -> DataFrame:
     """Spearman correlation per group of at least ``min_rows`` rows; null without variance."""
+    sizes = sizes or group_sizes(df, keys)
     df = average_ranks(df, target, keys, "_rt", sizes=sizes)
     df = average_ranks(df, pred, keys, "_rp", sizes=sizes)
     return (
@@ -86,6 +87,7 @@ def event_rank_correlation(df: DataFrame, target: str, pred: str, keys: Sequence
 
 def event_dcg_ratio(df: DataFrame, target: str, pred: str, keys: Sequence[str], sizes=None, min_rows: int = 3) -> DataFrame:
     """NDCG of the order by ``pred`` with relevance 1 / max(1, target), per group."""
+    sizes = sizes or group_sizes(df, keys)
     df = row_numbers(df, keys, [F.greatest(F.lit(1.0), F.col(pred)), F.col("Driver")], "_rp", sizes)
     df = row_numbers(df, keys, [F.greatest(F.lit(1.0), F.col(target)), F.col("Driver")], "_rt", sizes)
     gain = F.pow(F.lit(2.0), F.lit(1.0) / F.greatest(F.lit(1.0), F.col(target))) - 1.0

@@ -39,7 +39,9 @@ def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: st
         return
     spark = batch.sparkSession
     existing = spark.read.schema(batch.schema).parquet(path).select(batch.columns)
-    touched = existing.join(batch.select(partition).distinct(), partition, "left_semi")
+    # one value per table folder: this list prunes the scan to the touched partitions
+    values = [r[0] for r in batch.select(partition).distinct().collect()]
+    touched = existing.where(F.col(partition).isin(values))
     merged = materialize(upsert(touched, batch, keys), "merged")
     (
         merged.write.mode("overwrite")

@@ -53,8 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/rankpanel/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/rankpanel-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete what this application materialised; call when its results have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/rankpanel-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

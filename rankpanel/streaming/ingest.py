@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankpanel.operators import scoring, store
+from rankpanel.operators.ordering import row_numbers
+from rankpanel.operators.timeline import Frame, lagged_frames
 from rankpanel.session import materialize
 
 EVENT = ["Year", "Race_Num"]
@@ -60,8 +60,14 @@ def refresh_predictions(
     store.full_refresh(out, first)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        actual = materialize(batch.select(*KEY, "Quali_Pos"), "actual")
-        touched = roster.join(actual.select(*EVENT).distinct(), EVENT, "left_semi")
+        seen = f"{out}-actual"
+        batch.select(*KEY, "Quali_Pos").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        everything = spark.read.parquet(seen)
+        now = everything.where(F.col("batch") == batch_id).select(*EVENT).distinct()
+        # an event's rows may come in several batches: all of them count, the newest per driver wins
+        so_far = everything.where(F.col("batch") <= batch_id).join(now, EVENT, "left_semi")
+        actual = store.latest_by(so_far, KEY, ["batch"]).drop("batch")
+        touched = roster.join(now, EVENT, "left_semi")
         store.upsert_table(out, scoring.choose_qualifying(touched, "auto", actual, predicted).select(first.columns), KEY)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
@@ -69,31 +75,29 @@ def refresh_predictions(
     query.awaitTermination()
 
 
-FORM_SCHEMA = T.StructType(
-    [
-        T.StructField("Driver", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("form", T.DoubleType()),
-    ]
-)
-FORM_STATE = T.StructType([T.StructField("recent", T.ArrayType(T.DoubleType()))])
+def online_form(stream: DataFrame, out: str, state: str, checkpoint: str, rows: int = 3) -> None:
+    """Mean of a driver's last ``rows`` positions before each result, carried across batches.
 
-
-def online_form(stream: DataFrame, rows: int = 3) -> DataFrame:
-    """Mean of a driver's last ``rows`` positions before each result, kept as state.
-
-    ``stream`` has (Driver, seq, Position) with files in time order. The state
-    is the last ``rows`` values, however long the history.
+    ``stream`` has (Driver, seq, Position) and arrives in time order. The state
+    is a table with each driver's last ``rows`` values, one version per batch,
+    so a replayed batch starts from the same state and writes the same rows. A
+    batch is one lagged frame over state and new rows: a busy driver is spread
+    over tasks like any large group.
     """
+    schema = "Driver long, seq long, Position double"
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = batch.select("Driver", "seq", "Position").withColumn("is_new", F.lit(True))
+        both = arrived
+        if batch_id > 0:
+            known = spark.read.schema(schema).parquet(f"{state}/{batch_id - 1}")
+            both = arrived.unionByName(known.withColumn("is_new", F.lit(False)))
+        both = materialize(both, "form")
+        formed = lagged_frames(both, ["Driver"], [Frame("form", "avg", "Position", rows)], ["seq"])
+        formed.where("is_new").select("Driver", "seq", "form").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        newest = row_numbers(both, ["Driver"], [F.col("seq").desc()], "_age").where(F.col("_age") <= rows)
+        newest.select("Driver", "seq", "Position").write.mode("overwrite").parquet(f"{state}/{batch_id}")
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        arrived = pd.concat(parts).sort_values("seq")
-        out = []
-        for seq, position in zip(arrived["seq"], arrived["Position"]):
-            out.append((key[0], seq, sum(recent) / len(recent) if recent else None))
-            recent = [*recent, float(position)][-rows:]
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=["Driver", "seq", "form"]).astype({"form": "float64"})
-
-    return stream.groupBy("Driver").applyInPandasWithState(update, FORM_SCHEMA, FORM_STATE, "append", GroupStateTimeout.NoTimeout)
+    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
