@@ -55,15 +55,20 @@ def f4(spark, sf):
     return results(spark, sf).select(*ROW_KEY, points_for(F.col("Position")).alias("Points"))
 
 
-SUMMARY = """
-SELECT Driver, round(avg(CASE WHEN pos = 1 THEN 100.0::DOUBLE ELSE 0 END), 2) AS Win_Pct, round(avg(CASE WHEN pos <= 3 THEN 100.0::DOUBLE ELSE 0 END), 2) AS Podium_Pct,
-  round(avg(CASE WHEN pos <= 10 THEN 100.0::DOUBLE ELSE 0 END), 2) AS Top10_Pct,
-  round(avg(CAST(CASE pos WHEN 1 THEN 25 WHEN 2 THEN 18 WHEN 3 THEN 15 WHEN 4 THEN 12 WHEN 5 THEN 10 WHEN 6 THEN 8 WHEN 7 THEN 6 WHEN 8 THEN 4 WHEN 9 THEN 2 WHEN 10 THEN 1 ELSE 0 END AS DOUBLE)), 2) AS Exp_Points,
-  round(quantile_cont(CAST(pos AS DOUBLE), 0.1), 1) AS Pos_P10, round(quantile_cont(CAST(pos AS DOUBLE), 0.5), 1) AS Pos_P50, round(quantile_cont(CAST(pos AS DOUBLE), 0.9), 1) AS Pos_P90
-FROM ft GROUP BY 1"""
+def _dec(expr: str, digits: int) -> str:
+    """Rounding as decimal, so that exact halves of two digits round up as in Spark."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(18,9)), {digits}) AS DOUBLE)"
 
 
-@query("f5_outcome_summary", with_results(SUMMARY.strip(), TRIALS, RANKED))
+POINTS_SQL = "CAST(CASE pos WHEN 1 THEN 25 WHEN 2 THEN 18 WHEN 3 THEN 15 WHEN 4 THEN 12 WHEN 5 THEN 10 WHEN 6 THEN 8 WHEN 7 THEN 6 WHEN 8 THEN 4 WHEN 9 THEN 2 WHEN 10 THEN 1 ELSE 0 END AS DOUBLE)"
+SUMMARY = "SELECT Driver, " + ", ".join(
+    [f"{_dec(f'avg(CASE WHEN pos <= {k} THEN 100.0::DOUBLE ELSE 0 END)', 2)} AS {o}" for o, k in (("Win_Pct", 1), ("Podium_Pct", 3), ("Top10_Pct", 10))]
+    + [f"{_dec(f'avg({POINTS_SQL})', 2)} AS Exp_Points"]
+    + [f"{_dec(f'quantile_cont(CAST(pos AS DOUBLE), {q})', 1)} AS Pos_P{int(q * 100)}" for q in (0.1, 0.5, 0.9)]
+) + " FROM ft GROUP BY 1"
+
+
+@query("f5_outcome_summary", with_results(SUMMARY, TRIALS, RANKED))
 def f5(spark, sf):
     return trials.outcome_summary(ranked(spark, sf))
 

@@ -28,13 +28,15 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFr
     return kept.unionByName(batch)
 
 
-def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: str = "Year") -> None:
+def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: str = "Year", stored: bool = False) -> None:
     """Upsert into a partitioned table; only partitions the batch touches are rewritten.
 
     The merged rows are written aside first, so a lost executor never reads a
-    partition that is being replaced.
+    partition that is being replaced. ``stored`` says that the batch is a
+    written table already. The rebalance hint gives files of even size and
+    splits a large partition over tasks.
     """
-    batch = materialize(batch, "batch")
+    batch = batch if stored else materialize(batch, "batch")
     if batch.isEmpty():
         return
     spark = batch.sparkSession
@@ -44,7 +46,8 @@ def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: st
     touched = existing.where(F.col(partition).isin(values))
     merged = materialize(upsert(touched, batch, keys), "merged")
     (
-        merged.write.mode("overwrite")
+        merged.hint("rebalance", partition)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
@@ -53,7 +56,8 @@ def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: st
 
 def full_refresh(path: str, df: DataFrame, partition: str = "Year") -> None:
     """Replace a whole table."""
-    materialize(df, "refresh").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
+    rows = materialize(df, "refresh").hint("rebalance", partition)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
 
 
 def mark_processed(log: DataFrame, batch: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def ingest(stream: DataFrame, table: str, log: str, checkpoint: str, keys: Seque
 
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = materialize(batch, "microbatch")
-        store.upsert_table(table, rows, keys, partition="day")
+        store.upsert_table(table, rows, keys, partition="day", stored=True)
         entry = rows.groupBy("day").agg(F.count(F.lit(1)).alias("rows")).withColumn("batch_id", F.lit(batch_id))
         entry.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
