@@ -183,7 +183,7 @@ def a11(spark, sf):
     return sinks.read_roster_csv(spark, path, 2002, "C05", named)
 
 
-@query("a12_prediction_sink")
+@query("a12_prediction_sink", with_results("SELECT 'race' AS model_type, 'auto' AS scenario, count(*) AS rows, sum(pred) AS positions FROM preds"))
 def a12(spark, sf):
     from rankpanel.catalog.base import predictions
 
@@ -191,7 +191,9 @@ def a12(spark, sf):
     rows = predictions(spark, sf).select(*ROW_KEY, "Team", F.col("pred").alias("Predicted_Race_Pos"))
     sinks.write_predictions(path, rows, {"model_type": "race", "year": "2001", "race": "all", "model_version": "1", "scenario": "auto", "config_hash": "none", "features_used": "Quali_Pos"}, generated_at="2002-01-01 00:00:00")
     runs = spark.read.parquet(f"{path}/runs").select("run_id", "scenario")
-    return spark.read.parquet(f"{path}/rows").join(runs, "run_id").groupBy("model_type", "scenario").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(f"{path}/rows").join(runs, "run_id").groupBy("model_type", "scenario").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("Predicted_Race_Pos").alias("positions")
+    )
 
 
 @query("a13_input_lineage", with_results("SELECT Year, Race_Num, Driver, Quali_Pos, 'actual' AS Quali_Source FROM results WHERE Quali_Pos IS NOT NULL"))
@@ -201,7 +203,7 @@ def a13(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("a14_feature_cache")
+@query("a14_feature_cache", with_results("SELECT Year, count(*) AS rows, sum(Position) AS positions FROM results GROUP BY 1"))
 def a14(spark, sf):
     """The second call reads what the first one wrote."""
     root = scratch_path(spark, "cache")
@@ -210,19 +212,27 @@ def a14(spark, sf):
     def build():
         return r.select(*ROW_KEY, "Position")
 
-    first = sinks.cached_features(spark, root, [r, q], ["rolling"], "v1", build)
+    sinks.cached_features(spark, root, [r, q], ["rolling"], "v1", build)
     again = sinks.cached_features(spark, root, [r, q], ["rolling"], "v1", build)
-    return first.exceptAll(again).agg(F.count(F.lit(1)).alias("differing_rows"))
+    return again.groupBy("Year").agg(F.count(F.lit(1)).alias("rows"), F.sum("Position").alias("positions"))
 
 
-@query("a15_evaluation_sink")
+@query(
+    "a15_evaluation_sink",
+    with_results(
+        """SELECT 'quali' AS model, metric, value FROM (
+             SELECT round(avg(abs(pred - y)), 6) AS mae, round(avg((pred - y) ** 2), 6) AS mse, round(sqrt(avg((pred - y) ** 2)), 6) AS rmse,
+                    round(1 - sum((pred - y) ** 2) / sum((y - (SELECT avg(y) FROM preds)) ** 2), 6) AS r2 FROM preds)
+           UNPIVOT (value FOR metric IN (mae, mse, rmse, r2))"""
+    ),
+)
 def a15(spark, sf):
     from rankpanel.catalog.base import predictions
     from rankpanel.operators import metrics
 
     path = scratch_path(spark, "evaluation")
     sinks.write_evaluation(path, {"metrics": metrics.metrics_long(metrics.error_metrics(predictions(spark, sf)), "quali")})
-    return spark.read.parquet(f"{path}/metrics")
+    return rounded(spark.read.parquet(f"{path}/metrics"))
 
 
 @query("a16_registry_row")
