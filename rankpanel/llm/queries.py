@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, pii, quality, secrets
+from rankpanel.llm import curriculum, order_minhash, pii, quality, secrets, sorted_projections, substrings
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +37,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *counts)
 
 
+@query("op3_sorted_projections")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_projections.groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_quality_pu")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_seed_extend")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
+
+
 @query("op7_curriculum_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.by_position(curriculum.plan(table(spark, sf_dir, "documents"))).drop("source")
@@ -50,3 +61,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_secret_trigrams")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.groups(table(spark, sf_dir, "documents"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,21 @@ from rankpanel.session import materialize, shuffle_partitions
 #: A word is a run of characters other than space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    with zipfile.ZipFile(Path(tempfile.mkdtemp()) / "rankpanel.zip", "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(z.filename)
+    _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,3 +46,15 @@ def numbered_blocks(df: DataFrame, order: list[Column], block: str, label: str,
     """
     n = partitions or shuffle_partitions(df.sparkSession)
     return materialize(df.repartitionByRange(n, *order).withColumn(block, F.spark_partition_id()), label)
+
+
+def row_key(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """The documents and a column that tells their rows apart.
+
+    That is ``key`` where it is never null and never repeats; otherwise rows are
+    numbered in a written copy, so that the number is the same in every read.
+    """
+    seen = docs.groupBy(key).count().agg(F.max("count").alias("most"), F.max(F.col(key).isNull()).alias("null")).first()
+    if (seen["most"] or 0) <= 1 and not seen["null"]:
+        return docs, key
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
