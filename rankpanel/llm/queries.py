@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, order_minhash, pii, quality, secrets, sorted_projections, substrings
+from rankpanel.llm import curriculum, decontaminate, order_minhash, pii, quality, secrets, sorted_projections, substrings
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_cgk_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
