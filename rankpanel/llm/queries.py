@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, decontaminate, order_minhash, pii, quality, secrets, sorted_projections, substrings
+from rankpanel.llm import curriculum, decontaminate, order_minhash, pii, quality, secrets, sorted_projections, substrings, tokens
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
 
 
+@query("op6_range_coded_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"))
+
+
 @query("op7_curriculum_mix")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.by_position(curriculum.plan(table(spark, sf_dir, "documents"))).drop("source")
