@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, decontaminate, order_minhash, pii, quality, secrets, sorted_projections, substrings, tokens
+from rankpanel.llm import curriculum, decontaminate, licenses, order_minhash, pii, quality, secrets, sorted_projections, substrings, tokens
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Documents have no path; a tree of a hundred per folder stands for one.
+DOCUMENT_PATH = "concat_ws('/', source, cast(floor(doc_id / 10000) as string), cast(floor(doc_id / 100) as string), concat(doc_id, '.txt'))"
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(DOCUMENT_PATH))
+    return licenses.scan(docs, "path")
+
+
 @query("op2_pii_feistel")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its text with pseudonyms and the number of values replaced, by kind."""
