@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankpanel.llm import words
-from rankpanel.llm.tables import ship_package
+from rankpanel.llm.tables import bitmap, in_bitmap, ship_package
 from rankpanel.session import materialize
 
 LEAST, MIN_WORDS, GROWTH = 0.8, 8, 1.25
 REPEATS, SAMPLED = 24, 2
-PAIR_BITS, SAMPLE_BITS = 22, 23
+PAIR_BITS, SAMPLE_BITS = 22, 22
 
 
 def length_class(n: int, growth: float = GROWTH) -> tuple[int, int]:
@@ -118,19 +118,6 @@ def _item_values(kind: str):
     return run
 
 
-def _bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Which of 2**bits slots are used; at most that many numbers reach the driver."""
-    slots = values.select(F.pmod(F.col(column), F.lit(1 << bits)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-    out = np.zeros(1 << bits, dtype=bool)
-    out[slots] = True
-    return np.packbits(out, bitorder="little")
-
-
-def _known(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    slot = values & np.uint64((1 << bits) - 1)
-    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _regions(pairs, sampled, classes: list[tuple[int, int]], least: float):
     """Stretches of documents whose windows share a sample with an item: row, first word, words, samples."""
 
@@ -147,7 +134,7 @@ def _regions(pairs, sampled, classes: list[tuple[int, int]], least: float):
                 count = np.diff(first)
                 doc = np.repeat(np.arange(hi - lo), count)
                 stop = np.repeat(first[1:], count)
-                known = np.append(_known(pair_map, _neighbours(h), PAIR_BITS), False)
+                known = np.append(in_bitmap(pair_map, _neighbours(h), PAIR_BITS), False)
                 known &= np.arange(1, len(h) + 1) < stop
                 total = np.append(0, np.cumsum(known))
                 for low, high in classes:
@@ -157,7 +144,7 @@ def _regions(pairs, sampled, classes: list[tuple[int, int]], least: float):
                     if not len(s):
                         continue
                     got = samples(h, s, stop[s], low)
-                    hit = _known(sample_map, got, SAMPLE_BITS)
+                    hit = in_bitmap(sample_map, got, SAMPLE_BITS)
                     found = hit.any(axis=0)
                     s, got, hit = s[found], got[:, found], hit[:, found]
                     if not len(s):
@@ -222,8 +209,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: st
     sampled = texts.mapInArrow(_item_values("samples"), shape).where(f"n >= {MIN_WORDS}")
     sampled = materialize(sampled.select("item", "low", "high", F.explode("values").alias("value")), "item-samples")
     classes = [tuple(r) for r in sampled.select("low", "high").distinct().orderBy("low").collect()]
-    pair_map = spark.sparkContext.broadcast(_bitmap(pairs, "pair", PAIR_BITS))
-    sample_map = spark.sparkContext.broadcast(_bitmap(sampled, "value", SAMPLE_BITS))
+    pair_map = spark.sparkContext.broadcast(bitmap(pairs, "pair", PAIR_BITS))
+    sample_map = spark.sparkContext.broadcast(bitmap(sampled, "value", SAMPLE_BITS))
     lowered = docs.where(F.col("text").isNotNull()).select(F.col(key).cast("long").alias("row"), F.lower("text").alias("text"))
     regions = lowered.mapInArrow(_regions(pair_map, sample_map, classes, least), "row long, begin long, region string, values array<long>")
     regions = materialize(regions, "regions")

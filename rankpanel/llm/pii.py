@@ -31,7 +31,10 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "day_date": r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2}(?![0-9/]|\.[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "phone": (
+        r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+        r"|[2-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3})(?![0-9])"
+    ),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
@@ -142,7 +145,7 @@ def _card(x: Column, secret: str) -> Column:
 
 def _phone(x: Column, secret: str) -> Column:
     """The country code stays; ten digits under +1 stay a valid area, exchange and line."""
-    code = F.regexp_extract(x, r"^\+[0-9]{1,3}", 0)
+    code = F.regexp_extract(x, r"^\+(?:1|[2-9][0-9]{0,2})", 0)
     rest = F.substr(x, F.length(code) + 1, F.length(x))
     d = _digits(rest)
     n = F.length(d)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,36 @@ def row_key(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     if (seen["most"] or 0) <= 1 and not seen["null"]:
         return docs, key
     return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows"), "_row"
+
+
+#: Bits of the largest bitmap that is sent to tasks: 512 KB, whatever the data.
+BITMAP_BITS = 22
+
+
+def bitmap(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of 2**bits slots the low bits of a column use, as packed bits; built in Spark, of fixed size."""
+    # Spark's bitmap positions count from 1.
+    slots = values.select((F.pmod(F.col(column), F.lit(1 << bits)) + 1).alias("slot"))
+    rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).collect()
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["m"], np.uint8)
+        at = (r["b"] - 1) * len(part)
+        out[at : at + len(part)] |= part
+    return out
+
+
+def in_bitmap(packed: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    slot = values.view(np.uint64) & np.uint64((1 << bits) - 1)
+    return (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def row_filter(rows: DataFrame, column: str, n: int) -> tuple:
+    """A broadcast bitmap of the rows of ``column``, and its bits."""
+    bits = filter_bits(n)
+    return rows.sparkSession.sparkContext.broadcast(bitmap(rows, column, bits)), bits
+
+
+def filter_bits(n: int) -> int:
+    """Bits for a filter of n keys: eight slots a key, up to the fixed bound."""
+    return min(BITMAP_BITS, max(15, math.ceil(math.log2(8 * max(n, 1)))))

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from rankpanel.llm.tables import in_bitmap
+
 PIECE = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -131,4 +133,15 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], ["row", "body"])
 
 
+def packed_where(rows, bits: int):
+    """Like ``packed`` for the rows that a broadcast bitmap lets through; a join decides about the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = in_bitmap(rows.value, batch.column(0).to_numpy(zero_copy_only=False), bits)
+            yield from packed(iter([batch.filter(pa.array(hit))]))
+
+    return run
+
+
 PACKED = "row long, body binary"
