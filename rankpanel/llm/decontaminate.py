@@ -41,7 +41,7 @@ from rankpanel.llm.tables import bitmap, in_bitmap, ship_package
 from rankpanel.session import materialize
 
 LEAST, MIN_WORDS, GROWTH = 0.8, 8, 1.25
-REPEATS, SAMPLED = 24, 2
+REPEATS, SAMPLED = 48, 2
 PAIR_BITS, SAMPLE_BITS = 22, 22
 
 
