@@ -180,7 +180,8 @@ def test_items_with_edits(spark):
                 at = pick.randrange(len(w))
                 w[at : at + pick.randint(0, 1)] = [pick.choice(pool)]
             want.add((len(rows), r.item_id))
-            rows.append((len(rows), " ".join(pick.choices(pool, k=60) + w + pick.choices(pool, k=60)).upper()))
+            text = " ".join(pick.choices(pool, k=60) + w + pick.choices(pool, k=60))
+            rows.append((len(rows), "".join(c.upper() if c.isascii() else c for c in text)))
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert len(got & want) >= 0.98 * len(want)
 
