@@ -2,8 +2,8 @@
 
 In each pass a vector gets a key of ``BITS`` random hyperplane signs,
 concatenated. Vectors of one group (equal label and length) are ordered
-lexicographically by that key and cut into blocks of ``BLOCK`` neighbours; a
-vector is compared with those of its own block and of the next ``NEAR`` blocks.
+lexicographically by that key and cut into blocks of about ``BLOCK`` neighbours; a
+vector is compared with those of its own block and of the next one.
 Where the farthest compared blocks still hold links, the window doubles until
 they do not, so that dense runs of near copies are compared to their end: no
 partner is capped. Verified pairs are united across passes; a pair compared in
@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpanel.llm.components import components
-from rankpanel.llm.tables import row_key, ship_package
+from rankpanel.llm.tables import arrow_rows, row_key, ship_package
 from rankpanel.session import materialize, shuffle_partitions
 
 LEAST = 0.93
-PASSES, BITS, BLOCK, NEAR = 12, 63, 256, 2
+PASSES, BITS, BLOCK = 12, 63, 384
+#: Block pairs in one Arrow batch.
+BATCH = 32
 #: Rows per range partition of one pass.
 PARTITION_ROWS = 1 << 18
 
@@ -87,31 +89,32 @@ def _keys(passes: int, bits: int):
 
 
 def _blocks(size: int):
-    """Cut a sorted partition into blocks of one group each."""
+    """Cut a sorted partition into blocks of one group each, of half to one and a half times ``size`` where there are enough rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: list[tuple] = []
         group, number = None, 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(n: int) -> pa.RecordBatch:
             nonlocal number, held
-            out = pa.RecordBatch.from_pylist(
-                [{"part": part, "number": number, "pass": group[0], "label": group[1], "dim": group[2], "reps": [h[0] for h in held], "copies": [h[1] for h in held], "vectors": b"".join(h[2] for h in held)}],
-                schema=_BLOCK_ARROW,
-            )
-            number, held = number + 1, []
-            return out
+            now, held = held[:n], held[n:]
+            row = {"part": part, "number": number, "pass": group[0], "label": group[1], "dim": group[2]}
+            row |= {"reps": [h[0] for h in now], "copies": [h[1] for h in now], "vectors": b"".join(h[2] for h in now)}
+            number += 1
+            return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)]
             for p, label, dim, rep, copies, vector in zip(*cols):
-                if held and (group != (p, label, dim) or len(held) == size):
-                    yield flush()
+                if held and group != (p, label, dim):
+                    yield flush(len(held))
                 group = (p, label, dim)
                 held.append((rep, copies, vector))
+                if len(held) >= size + size // 2:
+                    yield flush(size)
         if held:
-            yield flush()
+            yield flush(len(held))
 
     return run
 
@@ -144,7 +147,7 @@ def _touching(wide: bool, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seq, ahead, dim, x, y = (batch.column(k).to_pylist() for k in range(5))
-            hit = [len(_linked(a, b, d, wide, o == 0, least)[0]) > 0 for o, d, a, b in zip(ahead, dim, x, y)]
+            hit = [len(_linked(a, b or a, d, wide, o == 0, least)[0]) > 0 for o, d, a, b in zip(ahead, dim, x, y)]
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["block", "ahead"])
 
@@ -172,26 +175,28 @@ def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray
 def _counted(wide: bool, least: float):
     """Links of a block pair that no earlier pass compared: weights per vector and forest edges.
 
-    ``seqs`` and ``reach`` hold, per vector, its block in each pass and how far that block was compared.
+    ``pa`` and ``pb`` hold, per vector, its block in each pass and then how far that block was compared.
     """
 
-    def table(column, i) -> tuple[np.ndarray, np.ndarray]:
-        rows = column[i].as_py()
-        return np.array([r["seqs"] for r in rows]), np.array([r["reach"] for r in rows])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            col = {n: batch.column(k) for k, n in enumerate(names)}
+            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+
+            def longs(name: str, r: int) -> np.ndarray:
+                return col[name][r].values.to_numpy()
+
+            def places(name: str, r: int) -> tuple[np.ndarray, np.ndarray]:
+                flat = np.frombuffer(b"".join(col[name][r].as_py()), dtype=">i4").astype(np.int64)
+                both = flat.reshape(len(col[name][r]), -1)
+                return both[:, : both.shape[1] // 2], both[:, both.shape[1] // 2 :]
+
             for r in range(batch.num_rows):
                 ahead, dim, turn = col["ahead"][r].as_py(), col["dim"][r].as_py(), col["pass"][r].as_py()
-                i, j = _linked(col["x"][r].as_py(), col["y"][r].as_py(), dim, wide, ahead == 0, least)
+                a, b = ("x", "ra", "ca", "pa"), ("y", "rb", "cb", "pb") if ahead else ("x", "ra", "ca", "pa")
+                i, j = _linked(col[a[0]][r].as_py(), col[b[0]][r].as_py(), dim, wide, ahead == 0, least)
                 if not len(i):
                     continue
-                ra, rb = np.array(col["ra"][r].as_py()), np.array(col["rb"][r].as_py())
-                ca, cb = np.array(col["ca"][r].as_py()), np.array(col["cb"][r].as_py())
-                sa, ea = table(col["pa"], r)
-                sb, eb = table(col["pb"], r)
+                (sa, ea), (sb, eb) = places(a[3], r), places(b[3], r)
                 fresh = np.ones(len(i), dtype=bool)
                 for q in range(turn):
                     s, t = sa[i, q], sb[j, q]
@@ -199,6 +204,7 @@ def _counted(wide: bool, least: float):
                 i, j = i[fresh], j[fresh]
                 if not len(i):
                     continue
+                ra, rb, ca, cb = longs(a[1], r), longs(b[1], r), longs(a[2], r), longs(b[2], r)
                 u, v = _forest(np.concatenate([ra, rb]), i, j + len(ra))
                 degree_a = np.bincount(i, weights=cb[j], minlength=len(ra)).astype(np.int64)
                 degree_b = np.bincount(j, weights=ca[i], minlength=len(rb)).astype(np.int64)
@@ -220,12 +226,21 @@ def _numbered(blocks: DataFrame) -> DataFrame:
     return blocks.join(F.broadcast(start), F.col("part") == F.col("_part")).withColumn("block", F.col("_start") + F.col("number")).drop("_start", "_part", "number", "part")
 
 
-def _compared(blocks: DataFrame, spans: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Block pairs for rows (block, ahead), within one pass and group."""
-    other = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns])
+def _compared(blocks: DataFrame, spans: DataFrame, own: dict[str, str], with_self: bool) -> DataFrame:
+    """Block pairs for rows (block, ahead), within one pass and group; a block with itself (ahead 0) needs no join.
+
+    ``own`` names the columns of the first block and, for the second one, what they become.
+    """
+    shared = ["block", "dim", "pass"]
+    other = blocks.select(*[F.col(c).alias(f"_{c}") for c in ("block", "pass", "label", "dim")], *[F.col(c).alias(n) for c, n in own.values()])
     pairs = spans.select(F.col("block").alias("_at"), "ahead").join(blocks, F.col("_at") == F.col("block"))
     same = (F.col("pass") == F.col("_pass")) & (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim"))
-    return pairs.join(other, (F.col("block") + F.col("ahead") == F.col("_block")) & same)
+    first = [F.col(c).alias(n) for n, (c, _) in own.items()]
+    out = pairs.join(other, (F.col("block") + F.col("ahead") == F.col("_block")) & same).select(*shared, "ahead", *first, *[n for _, n in own.values()])
+    if not with_self:
+        return out
+    alone = blocks.select(*shared, F.lit(0).alias("ahead"), *first)
+    return out.unionByName(alone, allowMissingColumns=True)
 
 
 def near_links(classes: DataFrame, wide: bool, least: float = LEAST, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
@@ -239,13 +254,17 @@ def near_links(classes: DataFrame, wide: bool, least: float = LEAST, passes: int
     )
     cut = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_blocks(BLOCK), _BLOCK_SQL)
     blocks = materialize(_numbered(materialize(cut, "cut")), "vector-blocks")
-    spans = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(NEAR))).alias("ahead"))
-    reach = blocks.select("block", F.lit(NEAR).alias("ahead"))
-    far = NEAR
+    with arrow_rows(spark, BATCH):
+        return _block_links(blocks, wide, least)
+
+
+def _block_links(blocks: DataFrame, wide: bool, least: float) -> tuple[DataFrame, DataFrame]:
+    spans = blocks.select("block", F.lit(1).alias("ahead"))
+    reach, far = spans, 1
     while True:
-        pairs = _compared(blocks, spans).select("block", "ahead", "dim", F.col("vectors").alias("x"), F.col("_vectors").alias("y"))
+        pairs = _compared(blocks, spans, {"x": ("vectors", "y")}, False).select("block", "ahead", "dim", "x", "y")
         hit = materialize(pairs.mapInArrow(_touching(wide, least), "block long, ahead int"), "touching")
-        edge = hit.where(F.col("ahead") > far // 2 if far > NEAR else F.col("ahead") == far).select("block").distinct()
+        edge = hit.where(F.col("ahead") > far // 2).select("block").distinct()
         if edge.isEmpty():
             break
         spans = edge.select("block", F.explode(F.sequence(F.lit(far + 1), F.lit(2 * far))).alias("ahead"))
@@ -256,16 +275,14 @@ def near_links(classes: DataFrame, wide: bool, least: float = LEAST, passes: int
     places = places.join(reach.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).drop("_b")
     places = materialize(places, "places")
     seen = places.groupBy(F.col("rep").alias("_rep")).agg(F.sort_array(F.collect_list(F.struct("pass", "block", "reach"))).alias("at"))
-    seen = seen.select("_rep", F.struct(F.col("at.block").alias("seqs"), F.col("at.reach").alias("reach")).alias("seen"))
+    ints = F.concat(F.transform("at.block", lambda x: x.cast("int")), F.col("at.reach"))
+    seen = seen.select("_rep", F.unhex(F.array_join(F.transform(ints, lambda x: F.lpad(F.hex(x), 8, "0")), "")).alias("seen"))
     by_block = places.join(seen, F.col("rep") == F.col("_rep")).groupBy(F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("pos", "seen"))).alias("p"))
     full = blocks.join(by_block, F.col("block") == F.col("_b")).withColumn("seen", F.col("p.seen")).drop("_b", "p")
     full = materialize(full, "placed-blocks")
-    spans = reach.select("block", F.explode(F.sequence(F.lit(0), F.col("reach"))).alias("ahead"))
-    pairs = _compared(full, spans).select(
-        "ahead", "dim", "pass", F.col("vectors").alias("x"), F.col("_vectors").alias("y"), F.col("reps").alias("ra"), F.col("_reps").alias("rb"),
-        F.col("copies").alias("ca"), F.col("_copies").alias("cb"), F.col("seen").alias("pa"), F.col("_seen").alias("pb"),
-    )
-    counted = materialize(pairs.mapInArrow(_counted(wide, least), "rep long, weight long, other long"), "counted")
+    spans = reach.select("block", F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("ahead"))
+    own = {"x": ("vectors", "y"), "ra": ("reps", "rb"), "ca": ("copies", "cb"), "pa": ("seen", "pb")}
+    counted = materialize(_compared(full, spans, own, True).mapInArrow(_counted(wide, least), "rep long, weight long, other long"), "counted")
     degrees = counted.where("other is null").groupBy("rep").agg(F.sum("weight").alias("links"))
     return degrees, counted.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
