@@ -62,14 +62,36 @@ def a3(spark, sf):
     return store.upsert(rows, batch, ROW_KEY)
 
 
-@query("a3_table_upsert", with_results("SELECT * FROM merged", BATCH_SQL.strip()))
+@query(
+    "a3_table_upsert",
+    with_results(
+        """SELECT m.*, CASE WHEN b.Year IS NULL THEN 'stored' END AS Note FROM merged m LEFT JOIN batch b USING (Year, Race_Num, Driver)""",
+        BATCH_SQL.strip(),
+    ),
+)
 def a3_table(spark, sf):
-    """The same upsert against a stored table, rewriting only the touched year."""
+    """The same upsert against a stored table with a column the batch lacks, rewriting only the touched year."""
     rows, batch = upsert_batch(spark, sf)
     path = scratch_path(spark, "upsert")
-    store.full_refresh(path, rows)
+    store.full_refresh(path, rows.withColumn("Note", F.lit("stored")))
     store.upsert_table(path, batch, ROW_KEY)
-    return spark.read.parquet(path).select(rows.columns)
+    return spark.read.parquet(path).select(*rows.columns, "Note")
+
+
+@query(
+    "a3_upsert_by_order",
+    with_results("SELECT Year, Race_Num, Driver, Position + CASE WHEN Driver % 3 = 0 THEN 5 WHEN Driver % 3 = 1 THEN 2 ELSE 0 END AS Position FROM results"),
+)
+def a3_order(spark, sf):
+    """Keys repeat in the batch, and some batch rows are older than the stored ones: the largest version stays."""
+    stored = races(spark, sf).select(*ROW_KEY, "Position", F.lit(3).alias("version"))
+    third = F.col("Driver") % 3
+
+    def change(which: int, version: int, add: int):
+        return stored.where(third == which).withColumns({"Position": F.col("Position") + add, "version": F.lit(version)})
+
+    batch = change(0, 4, 1).unionByName(change(0, 9, 5)).unionByName(change(1, 4, 2)).unionByName(change(2, 1, 7))
+    return store.upsert(stored, batch, ROW_KEY, order=["version"]).drop("version")
 
 
 @query(
@@ -84,6 +106,22 @@ def a4(spark, sf):
     return store.processed_events(store.mark_processed(log, more))
 
 
+@query(
+    "a4_log_content",
+    with_results(
+        """SELECT Year, Race_Num, 'R' AS session, count(*) AS rows, '2002-01-01 00:00:00' AS loaded_at,
+           md5(count(*)::VARCHAR || ':' || sum(('0x' || substr(md5(concat_ws('|', Year, Race_Num, Driver, CAST(Position AS BIGINT))), 1, 15))::BIGINT)::VARCHAR) AS checksum
+           FROM results GROUP BY 1, 2"""
+    ),
+)
+def a4_content(spark, sf):
+    """A first load of half the events, then a load of all of them: entries are replaced, not repeated."""
+    rows = races(spark, sf).withColumn("Position", F.col("Position").cast("long"))
+    cols = ["Year", "Race_Num", "Driver", "Position"]
+    first = store.log_entries(rows.where("Race_Num % 2 = 0"), "R", cols, F.lit("2001-01-01 00:00:00"))
+    return store.mark_processed(first, store.log_entries(rows, "R", cols, F.lit("2002-01-01 00:00:00")))
+
+
 @query(
     "a5_batch_checksum",
     with_results(
@@ -189,7 +227,9 @@ def a12(spark, sf):
 
     path = scratch_path(spark, "predictions")
     rows = predictions(spark, sf).select(*ROW_KEY, "Team", F.col("pred").alias("Predicted_Race_Pos"))
-    sinks.write_predictions(path, rows, {"model_type": "race", "year": "2001", "race": "all", "model_version": "1", "scenario": "auto", "config_hash": "none", "features_used": "Quali_Pos"}, generated_at="2002-01-01 00:00:00")
+    meta = {"model_type": "race", "year": "2001", "race": "all", "model_version": "1", "scenario": "auto", "config_hash": "none", "features_used": "Quali_Pos"}
+    for _ in range(2):  # a retried run
+        sinks.write_predictions(path, rows, meta, generated_at="2002-01-01 00:00:00")
     runs = spark.read.parquet(f"{path}/runs").select("run_id", "scenario")
     return spark.read.parquet(f"{path}/rows").join(runs, "run_id").groupBy("model_type", "scenario").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("Predicted_Race_Pos").alias("positions")

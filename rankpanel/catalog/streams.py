@@ -30,18 +30,39 @@ def s1(spark, sf):
 
 @query("s2_idempotent_ingest", "SELECT event_type, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s2(spark, sf):
-    """Every event arrives twice and the job runs twice; the table holds each once."""
+    """Every file spans all dates and comes as a batch of its own, every event arrives twice, and the job runs twice."""
     landing, out, log, check = (scratch_path(spark, x) for x in ("landing", "ingested", "log", "stream"))
     source = table(spark, sf, "events")
-    source.write.parquet(landing)
-    source.write.mode("append").parquet(landing)
-    stream = ingest.read_event_stream(spark, landing, source.schema)
+    for part in range(3):
+        source.where(F.col("event_id") % 3 == part).unionByName(source.where(F.col("event_id") % 3 == (part + 1) % 3)).coalesce(1).write.mode("append").parquet(landing)
+    stream = ingest.read_event_stream(spark, landing, source.schema, max_files=1)
     ingest.prepare_table(spark, out, stream.withColumn("day", F.to_date("ts")).schema, "day")
     for _ in range(2):
         ingest.ingest(stream, out, log, check, ["event_id"])
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
 
 
+@query(
+    "s2_newest_of_key",
+    """SELECT user_id, count(*) AS rows, max(event_id) AS event_id, round(sum(value), 6) AS value, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts
+       FROM events WHERE event_id IN (SELECT max_by(event_id, struct_pack(ts := ts, event_id := event_id)) FROM events GROUP BY user_id) GROUP BY 1""",
+)
+def s2_newest(spark, sf):
+    """Rows of one user come in three batches, newest rows first; the newest row stays and moves between days."""
+    landing, out, log, check = (scratch_path(spark, x) for x in ("landing", "ingested", "log", "stream"))
+    source = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    for part in (2, 0, 1):
+        source.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+    stream = ingest.read_event_stream(spark, landing, source.schema, max_files=1)
+    ingest.prepare_table(spark, out, stream.withColumn("day", F.to_date("ts")).schema, "day")
+    ingest.ingest(stream, out, log, check, ["user_id"], order=["ts", "event_id"])
+    kept = spark.read.parquet(out).groupBy("user_id")
+    return kept.agg(
+        F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("event_id"), F.round(F.sum("value"), 6).alias("value"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("ts"),
+    )
+
+
 @query(
     "s3_online_form",
     with_results(

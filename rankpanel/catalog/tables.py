@@ -195,7 +195,7 @@ def b20(spark, sf):
 @query(
     "b21_as_of_roster",
     with_results(
-        """SELECT t.Year, t.Race_Num, r.Driver, max(r.Team) AS Team FROM targets t
+        """SELECT t.Year, t.Race_Num, r.Driver, max(CASE WHEN r.Driver % 5 = 0 THEN 'A new team' ELSE r.Team END) AS Team FROM targets t
            JOIN results r ON r.Year * 100 + r.Race_Num = (SELECT max(h.Year * 100 + h.Race_Num) FROM have h WHERE h.Year * 100 + h.Race_Num <= t.Year * 100 + t.Race_Num)
              AND r.Race_Num % 3 <> 1
            GROUP BY 1, 2, 3""",
@@ -204,11 +204,13 @@ def b20(spark, sf):
     ),
 )
 def b21(spark, sf):
-    """Every scheduled event, and one two seasons ahead; a third of the events has no rows."""
+    """Every scheduled event, and one two seasons ahead; a third of the events has no rows, and some drivers change team."""
     s = schedule(spark, sf)
     ahead = s.agg((F.max("Year") + 2).alias("Year"), F.lit(4).alias("Race_Num"))
     targets = s.select("Year", F.col("RoundNumber").alias("Race_Num")).unionByName(ahead)
-    return clean.as_of_roster(targets, races(spark, sf).where("Race_Num % 3 <> 1"))
+    first = races(spark, sf).where("Race_Num % 3 <> 1").select(*ROW_KEY, "Team", F.lit(1).alias("load_seq"))
+    later = first.where("Driver % 5 = 0").withColumns({"Team": F.lit("A new team"), "load_seq": F.lit(2)})
+    return clean.as_of_roster(targets, later.unionByName(first), "load_seq")
 
 
 @query(
@@ -277,22 +279,24 @@ first AS (SELECT * FROM hours WHERE h <= 24)
 def b26(spark, sf):
     """A JSON forecast per user and day; humidity and rain are absent from some entries.
 
-    A payload holds its first 24 hourly entries, as a forecast does, so what is
-    collected is bounded while rows beyond are never part of the means.
+    A payload holds up to 48 hourly entries, more than the 24 that the means
+    are taken over; a group's entries are spread over payloads of that length
+    and the first one counts.
     """
     from rankpanel.operators.ordering import row_numbers
 
     ev = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_id", "event_type", "value")
-    hours = row_numbers(ev, ["user_id", "day"], [F.col("event_id")], "h").where("h <= 24")
+    numbered = row_numbers(ev, ["user_id", "day"], [F.col("event_id")], "h").withColumn("payload_no", F.floor((F.col("h") - 1) / 48))
+    hours = numbered
     entry = F.struct(
         "h",
         F.col("value").alias("temp"),
         F.when(F.col("event_type") != "view", F.col("value") / 2).alias("humidity"),
         F.when(F.col("event_type") == "click", 0.5).alias("pop"),
     )
-    payload = hours.groupBy("user_id", "day").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("hourly"))).alias("payload"))
+    payload = hours.groupBy("user_id", "day", "payload_no").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("hourly"))).alias("payload"))
     means = clean.forecast_means(F.col("payload"), 24)
-    return rounded(payload.select("user_id", "day", *[means[c].alias(c) for c in ("AirTemp", "Humidity", "Rainfall")]))
+    return rounded(payload.where("payload_no = 0").select("user_id", "day", *[means[c].alias(c) for c in ("AirTemp", "Humidity", "Rainfall")]))
 
 
 @query("b27_attach_scalars", with_results("SELECT Year, Race_Num, Driver, (SELECT max(AirTemp) FROM results) AS AirTemp, (SELECT round(avg(Humidity), 6) FROM results) AS Humidity FROM results"))

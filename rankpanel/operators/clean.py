@@ -169,10 +169,15 @@ def source_event_for(targets: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def as_of_roster(targets: DataFrame, panel: DataFrame) -> DataFrame:
-    """(target event, Driver, Team): the last team of each driver at the source event."""
+def as_of_roster(targets: DataFrame, panel: DataFrame, sequence: str | None = None) -> DataFrame:
+    """(target event, Driver, Team): the last team of each driver at the source event.
+
+    ``sequence`` orders a driver's rows within an event; without it the panel
+    holds one row per driver and event.
+    """
     source = source_event_for(targets, panel)
-    entries = panel.groupBy("Year", "Race_Num", "Driver").agg(F.max("Team").alias("Team"))
+    order = F.struct(*([sequence] if sequence else []), "Team")
+    entries = panel.groupBy("Year", "Race_Num", "Driver").agg(F.max_by("Team", order).alias("Team"))
     entries = entries.withColumnsRenamed({"Year": "Source_Year", "Race_Num": "Source_Race_Num"})
     return entries.join(source, ["Source_Year", "Source_Race_Num"]).select("Year", "Race_Num", "Driver", "Team")
 

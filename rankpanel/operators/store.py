@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,29 +23,64 @@ def year_range(df: DataFrame, start_year: int | None = None, end_year: int | Non
     return df
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` replace rows with the same key; columns match by name."""
+def unique_rows(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The batch as it is; a key that repeats fails the job, as a primary key would."""
+    rest = [c for c in batch.columns if c not in keys]
+    one = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(F.lit(1).alias("_one"), *rest)).alias("_row"))
+    failed = F.raise_error(F.concat(F.lit("key repeats in the batch: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])))
+    row = F.when(F.col("_n") > 1, failed.cast(one.schema["_row"].dataType)).otherwise(F.col("_row")).alias("_row")
+    return one.select(*keys, row).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in batch.columns])
+
+
+def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``batch`` replace rows with the same key; columns match by name, absent ones are null.
+
+    With ``order`` the row with the largest values stays, whether it was stored
+    or is new, so repeated keys and late batches are harmless. Without it a key
+    may be in the batch once only.
+    """
+    if order:
+        return latest_by(existing.unionByName(batch, allowMissingColumns=True), keys, order)
     kept = existing.join(batch.select(*keys).distinct(), list(keys), "left_anti")
-    return kept.unionByName(batch)
+    return kept.unionByName(unique_rows(batch, keys), allowMissingColumns=True)
+
 
+def stored_table(path: str, like: DataFrame) -> DataFrame:
+    """A stored table with all columns any of its files has, typed as in ``like`` where that has them."""
+    spark = like.sparkSession
+    try:
+        stored = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException:  # no file yet
+        return spark.read.schema(like.schema).parquet(path).select(like.columns)
+    types = dict(like.dtypes)
+    found = [F.col(c).cast(types.get(c, t)).alias(c) for c, t in stored.dtypes]
+    return stored.select(*found, *[F.lit(None).cast(t).alias(c) for c, t in like.dtypes if c not in stored.columns])
 
-def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: str = "Year", stored: bool = False) -> None:
+
+def upsert_table(
+    path: str, batch: DataFrame, keys: Sequence[str], partition: str = "Year", stored: bool = False, order: Sequence[str] = ()
+) -> None:
     """Upsert into a partitioned table; only partitions the batch touches are rewritten.
 
     The merged rows are written aside first, so a lost executor never reads a
     partition that is being replaced. ``stored`` says that the batch is a
-    written table already. The rebalance hint gives files of even size and
-    splits a large partition over tasks.
+    written table already. Stored columns that the batch lacks stay. If the
+    partition is no part of the key, partitions that hold a key of the batch
+    are touched too, so a row can move. The rebalance hint gives files of even
+    size and splits a large partition over tasks.
     """
     batch = batch if stored else materialize(batch, "batch")
     if batch.isEmpty():
         return
-    spark = batch.sparkSession
-    existing = spark.read.schema(batch.schema).parquet(path).select(batch.columns)
+    existing = stored_table(path, batch)
     # one value per table folder: this list prunes the scan to the touched partitions
     values = [r[0] for r in batch.select(partition).distinct().collect()]
+    if partition not in keys:
+        moved = existing.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(partition).distinct()
+        values = sorted({*values, *[r[0] for r in moved.collect()]}, key=str)
     touched = existing.where(F.col(partition).isin(values))
-    merged = materialize(upsert(touched, batch, keys), "merged")
+    merged = upsert(touched, batch, keys, order)
+    merged = materialize(merged, "merged")
     (
         merged.hint("rebalance", partition)
         .write.mode("overwrite")
@@ -52,6 +88,17 @@ def upsert_table(path: str, batch: DataFrame, keys: Sequence[str], partition: st
         .partitionBy(partition)
         .parquet(path)
     )
+    if partition not in keys:
+        left = {r[0] for r in merged.select(partition).distinct().collect()}
+        _drop_partitions(batch.sparkSession, path, partition, [v for v in values if v not in left])
+
+
+def _drop_partitions(spark, path: str, partition: str, values: Sequence) -> None:
+    """Delete the folders of partitions that lost their last row."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for value in values:
+        folder = hadoop(f"{path}/{partition}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def full_refresh(path: str, df: DataFrame, partition: str = "Year") -> None:
@@ -60,6 +107,12 @@ def full_refresh(path: str, df: DataFrame, partition: str = "Year") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
 
 
+def log_entries(rows: DataFrame, session: str, cols: Sequence[str], loaded_at: Column) -> DataFrame:
+    """A log row per event of a loaded batch: rows, checksum and load time."""
+    event = ["Year", "Race_Num"]
+    return batch_checksum(rows, event, cols).select(*event, F.lit(session).alias("session"), "rows", "checksum", loaded_at.alias("loaded_at"))
+
+
 def mark_processed(log: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(log, batch, LOG_KEY)
 

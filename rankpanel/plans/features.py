@@ -32,13 +32,22 @@ def prepare(
     load_order: Sequence[str] = ("Date",),
     finished: Sequence[str] = FINISHED_STATUSES,
 ) -> DataFrame:
-    """Types, DNF flag, last row per key, qualifying joined in, grid filled from qualifying."""
+    """Types, DNF flag, last loaded row per key, qualifying joined in, grid filled from qualifying.
+
+    ``load_order`` names the columns that say which row was loaded later; rows
+    equal in them are ordered by all their values, so the result never depends
+    on the order of files.
+    """
+
+    def last(df: DataFrame) -> DataFrame:
+        return latest_by(df, KEY, [*load_order, *sorted(c for c in df.columns if c not in {*KEY, *load_order})])
+
     races = coerce(races, numbers=NUMBERS, dates=("Date",))
     status = F.col("Status") if "Status" in races.columns else F.lit(None).cast("string")
-    races = latest_by(races.withColumn("DNF", dnf_flag(status, finished)), KEY, load_order)
+    races = last(races.withColumn("DNF", dnf_flag(status, finished)))
     q = coerce(qualifying, numbers=("Position", "Quali_Pos"), dates=("Date",))
     rename = {} if "Quali_Pos" in q.columns else {"Position": "Quali_Pos"}
-    q = latest_by(ensure_columns(q, {"Quali_Pos": "double"}, rename), KEY, load_order)
+    q = last(ensure_columns(q, {"Quali_Pos": "double"}, rename))
     out = left_join_coalescing(races, q, KEY)
     if "Grid" in out.columns:
         out = out.withColumn("Grid", F.coalesce("Grid", "Quali_Pos"))

@@ -32,23 +32,31 @@ def read_roster_csv(spark: SparkSession, path: str, year: int, race_name: str, s
 
 
 def write_predictions(path: str, rows: DataFrame, meta: dict[str, str], generated_at: str) -> str:
-    """Append rows and one run row; returns the run id, which is the same for the same run."""
-    run_id = hashlib.sha256(json.dumps({**meta, "at": generated_at}, sort_keys=True).encode()).hexdigest()[:16]
+    """Write rows and one run row; returns the run id, which is the same for the same run.
+
+    A run has folders of its own, which a retry replaces.
+    """
+    run_id = "r" + hashlib.sha256(json.dumps({**meta, "at": generated_at}, sort_keys=True).encode()).hexdigest()[:16]
     spark = rows.sparkSession
     tagged = rows.withColumnsRenamed({"Year": "event_year"}).withColumns(
         {"run_id": F.lit(run_id), "model_type": F.lit(meta["model_type"]), "year": F.lit(int(meta["year"]))}
     )
-    tagged.write.mode("append").partitionBy("model_type", "year").parquet(f"{path}/rows")
+    _replace(tagged, f"{path}/rows", ("model_type", "year", "run_id"))
     run = spark.range(1).select(
         F.lit(run_id).alias("run_id"),
         F.lit(generated_at).cast("timestamp").alias("generated_at"),
         F.array(*[F.lit(c) for c in rows.columns]).alias("columns"),
         *[F.lit(str(v)).alias(k) for k, v in meta.items()],
     )
-    run.write.mode("append").parquet(f"{path}/runs")
+    _replace(run, f"{path}/runs", ("run_id",))
     return run_id
 
 
+def _replace(rows: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Replace the partitions that ``rows`` has values for, and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
 def write_lineage(path: str, rows: DataFrame, source: str) -> None:
     if source not in ("actual", "predicted"):
         raise ValueError(source)
