@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from rankpanel.catalog.base import event_count, panel, query, rounded, with_results
 from rankpanel.operators import features as ft
-from rankpanel.sources.tables import ROW_KEY
+from rankpanel.operators.timeline import Ewm, lagged_ewm
+from rankpanel.sources.tables import ROW_KEY, table
 
 # Weighted means with alpha 1/2 are often exact halves of the last digit; added
 # before rounding on both sides, this makes them round alike.
@@ -100,6 +101,40 @@ def c4(spark, sf):
     return rounded(_nudged(out, lags).select(*ROW_KEY, "Team", *[x.out for x in lags]))
 
 
+DAILY = {"quantity": "l_quantity", "price": "l_extendedprice / 1000", "discount": "l_discount"}
+SPANS = (3, 5, 10, 23)
+
+
+def _daily_ewm_sql(entity: str) -> str:
+    """The recurrence unrolled: a value ``k`` days old weighs ``a * (1 - a)^k``, the first one without the ``a``."""
+    means = ", ".join(f"avg({c}) AS {m}" for m, c in DAILY.items())
+    cells = ", ".join(
+        f"round(sum(h.{m} * CASE WHEN h.n = 1 THEN 1 ELSE {2 / (s + 1)!r} END * pow({1 - 2 / (s + 1)!r}, d.n - 1 - h.n)) + {NUDGE}, 6) AS {m}_{s}" for m in DAILY for s in SPANS
+    )
+    return f"""WITH daily AS (SELECT {entity} AS entity, CAST(l_shipdate AS DATE) AS day, {means} FROM lineitem GROUP BY 1, 2),
+        d AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day) AS n FROM daily)
+        SELECT d.entity, CAST(d.day AS VARCHAR) AS day, {cells} FROM d LEFT JOIN d h ON h.entity = d.entity AND h.n < d.n GROUP BY 1, 2"""
+
+
+def _daily_ewm(spark, sf, entity: str):
+    lines = table(spark, sf, "lineitem").groupBy(F.expr(entity).alias("entity"), F.col("l_shipdate").cast("date").alias("day"))
+    daily = lines.agg(*[F.avg(F.expr(c)).alias(m) for m, c in DAILY.items()])
+    ewms = [Ewm(f"{m}_{s}", m, s) for m in DAILY for s in SPANS]
+    out = lagged_ewm(daily, ["entity"], ewms, ["day"])
+    return rounded(out.select("entity", F.col("day").cast("string").alias("day"), *[(F.col(e.out) + NUDGE).alias(e.out) for e in ewms]))
+
+
+@query("c3_driver_ewm_daily", _daily_ewm_sql("l_suppkey % 7"))
+def c3_daily(spark, sf):
+    """Histories of about 2,500 daily events: beyond what one window of scaled terms can hold."""
+    return _daily_ewm(spark, sf, "l_suppkey % 7")
+
+
+@query("c4_team_ewm_daily", _daily_ewm_sql("concat(l_returnflag, l_linestatus)"))
+def c4_daily(spark, sf):
+    return _daily_ewm(spark, sf, "concat(l_returnflag, l_linestatus)")
+
+
 @query(
     "c10_driver_sprint_count",
     with_results(f"SELECT Year, Race_Num, Driver, CAST(sum(Is_Sprint) {_over('Driver', 'UNBOUNDED')} AS DOUBLE) AS Driver_Sprint_Count_Prev FROM panel"),

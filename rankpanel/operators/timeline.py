@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankpanel.operators.ordering import group_sizes, row_numbers
-from rankpanel.session import max_group_rows
+from rankpanel.session import materialize, max_group_rows
 
 EVENT_ORDER = ("Year", "Race_Num")
 
@@ -196,43 +196,48 @@ def _ewm_one_window(df, keys, ewms, order):
 
 
 def _ewm_segments(df, keys, ewms, order, sizes):
-    """Histories of any length.
+    """Histories of any length, all columns in one pass.
 
-    Rows with a value are cut where ``-L`` crosses a multiple of the limit. A
-    segment holds at most ``limit / ln(1 + alpha)`` rows. Its own values and
-    the total of the segment before it give the mean: anything older weighs
-    less than ``exp(-limit)``, which is zero next to a double.
+    A history is cut every ``limit / steepest decay`` rows, the same for all
+    columns, so the terms inside a segment neither overflow nor vanish. What
+    earlier segments leave is carried by the recurrence itself, folded over one
+    (decay, sum) pair per segment and column. A single gap that decays beyond
+    the limit is held at it: older values then weigh below ``exp(-limit)``.
     """
+    steepest = max(-math.log1p(-2.0 / (e.span + 1)) for e in ewms)
+    segment_rows = max(1, int(LOG_DECAY_LIMIT / steepest))
     metrics = list(dict.fromkeys(e.source for e in ewms))
-    out = row_numbers(df, keys, [F.col(c) for c in order], "_seq", sizes)
-    for m in metrics:
-        out = out.withColumn(f"_at_{m}", F.when(F.col(m).isNotNull(), F.col("_seq")))
-    out = lagged_frames(out, keys, [Frame(f"_last_{m}", "max", f"_at_{m}") for m in metrics], ["_seq"], sizes)
-    for m in metrics:
-        mine = [e for e in ewms if e.source == m]
-        valued = out.where(F.col(m).isNotNull()).select(
-            *keys, "_seq", F.col(m).cast("double").alias("_x"), (F.col("_seq") - F.col(f"_last_{m}")).cast("double").alias("_gap")
-        )
-        steps = [_step("_x", "_gap", 2.0 / (e.span + 1)) for e in mine]
-        stepped = valued.selectExpr(
-            "*", *[f"{d} AS _d{i}" for i, (d, _) in enumerate(steps)], *[f"{v} AS _b{i}" for i, (_, v) in enumerate(steps)]
-        )
-        logs = lagged_frames(stepped, keys, [Frame(f"_l{i}", "sum", f"_d{i}") for i in range(len(mine))], ["_seq"], sizes)
-        means = None
-        for i, e in enumerate(mine):
-            log = F.coalesce(F.col(f"_l{i}"), F.lit(0.0)) + F.col(f"_d{i}")
-            seg = logs.select(*keys, "_seq", F.col(f"_b{i}").alias("_b"), log.alias("_l"))
-            seg = seg.withColumn("_seg", F.floor(-F.col("_l") / LOG_DECAY_LIMIT))
-            seg = seg.withColumn("_t", F.col("_b") * F.exp(-F.col("_l") - LOG_DECAY_LIMIT * F.col("_seg")))
-            totals = seg.groupBy(*keys, (F.col("_seg") + 1).alias("_seg")).agg(F.sum("_t").alias("_prev"))
-            w = Window.partitionBy(*keys, "_seg").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-            inside = F.exp(F.col("_l") + LOG_DECAY_LIMIT * F.col("_seg")) * F.col("_run")
-            older = F.exp(F.col("_l") + LOG_DECAY_LIMIT * (F.col("_seg") - 1)) * F.coalesce(F.col("_prev"), F.lit(0.0))
-            mean = (
-                seg.withColumn("_run", F.sum("_t").over(w))
-                .join(totals, [*keys, "_seg"], "left")
-                .select(*keys, F.col("_seq").alias(f"_last_{m}"), (inside + older).alias(e.out))
-            )
-            means = mean if means is None else means.join(mean, [*keys, f"_last_{m}"])
-        out = out.join(means, [*keys, f"_last_{m}"], "left")
-    return out.select(*df.columns, *[e.out for e in ewms])
+    n = range(len(ewms))
+    numbered = row_numbers(df, keys, [F.col(c) for c in order], "_seq", sizes)
+    numbered = numbered.withColumns({f"_at_{m}": F.when(F.col(m).isNotNull(), F.col("_seq")) for m in metrics})
+    numbered = lagged_frames(numbered, keys, [Frame(f"_last_{m}", "max", f"_at_{m}") for m in metrics], ["_seq"], sizes)
+    numbered = numbered.drop(*[f"_at_{m}" for m in metrics]).withColumn("_seg", F.expr(f"(_seq - 1) div {segment_rows}"))
+    rows = materialize(numbered, "histories")
+    steps = [_step(f"_x_{e.source}", f"_gap_{e.source}", 2.0 / (e.span + 1)) for e in ewms]
+    within = [*keys, "_seg"]
+    past, now = window(within, ["_seq"], PAST), window(within, ["_seq"], UP_TO_NOW)
+    terms = (
+        rows.selectExpr("*", *[f"CAST(`{m}` AS DOUBLE) AS `_x_{m}`" for m in metrics], *[f"CAST(_seq - `_last_{m}` AS DOUBLE) AS `_gap_{m}`" for m in metrics])
+        .selectExpr("*", *[f"greatest({d}, {-LOG_DECAY_LIMIT}D) AS _d{i}" for i, (d, _) in enumerate(steps)], *[f"{v} AS _b{i}" for i, (_, v) in enumerate(steps)])
+        .selectExpr("*", *[f"sum(_d{i}) OVER {now} AS _l{i}" for i in n])
+        .selectExpr("*", *[f"_b{i} * exp(-_l{i}) AS _t{i}" for i in n])
+    )
+    decays = ", ".join(f"exp(sum(_d{i}))" for i in n)
+    sums = ", ".join(f"exp(sum(_d{i})) * sum(_t{i})" for i in n)
+    totals = terms.groupBy(*within).agg(F.expr(f"array({decays})").alias("_decay"), F.expr(f"array({sums})").alias("_sum"))
+    history = totals.groupBy(*keys).agg(F.expr("sort_array(collect_list(struct(_seg, _decay, _sum)))").alias("_history"))
+    folded = F.expr(
+        f"""aggregate(_history, named_struct('m', array_repeat(0D, {len(ewms)}), 'out', cast(array() AS array<struct<seg: bigint, m: array<double>>>)),
+            (a, s) -> named_struct('m', zip_with(zip_with(a.m, s._decay, (x, y) -> x * y), s._sum, (x, y) -> x + y),
+                                   'out', array_append(a.out, named_struct('seg', s._seg, 'm', a.m)))).out"""
+    )
+    carry = history.select(*keys, F.explode(folded).alias("_c")).select(*keys, F.col("_c.seg").alias("_seg"), F.col("_c.m").alias("_carry"))
+    local = terms.selectExpr(
+        *[f"`{c}`" for c in df.columns], *([] if "_seg" in df.columns else ["_seg"]), *[f"`_last_{m}`" for m in metrics],
+        *[f"exp(coalesce(sum(_d{i}) OVER {past}, 0D)) AS _e{i}" for i in n], *[f"coalesce(sum(_t{i}) OVER {past}, 0D) AS _s{i}" for i in n],
+    )
+    joined = local.join(carry, within, "left")
+    return joined.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"CASE WHEN `_last_{e.source}` IS NOT NULL THEN _e{i} * (_carry[{i}] + _s{i}) END AS `{e.out}`" for i, e in enumerate(ewms)],
+    )

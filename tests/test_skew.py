@@ -92,6 +92,20 @@ def test_ewm_of_a_long_history_does_not_overflow(spark):
     assert np.allclose(got["f"], x.shift(1).ewm(span=10, adjust=False).mean(), equal_nan=True)
 
 
+def test_long_histories_take_one_pass(spark):
+    """500 events and twelve columns: few scans and windows, planned quickly."""
+    import time
+
+    df = spark.range(2_000).selectExpr("id % 4 AS k", "id AS t", "rand(1) AS a", "rand(2) AS b", "rand(3) AS c")
+    ewms = [Ewm(f"{m}{s}", m, s) for m in "abc" for s in (3, 5, 10, 23)]
+    start = time.time()
+    out = lagged_ewm(df, ["k"], ewms, ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - start < 12
+    assert plan.count("FileScan") <= 3
+    assert len([x for x in plan.splitlines() if "Window [" in x]) <= 6
+
+
 def test_ewm_needs_a_span_above_one(frame):
     with pytest.raises(ValueError):
         lagged_ewm(frame, ["k"], [Ewm("e", "x", 1)])
