@@ -180,6 +180,22 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def place(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
+    """The least edit distance to a run of the text and the run's end, or None if it is more than ``most``.
+
+    An exact run is looked for first; then the words that the text lacks, each
+    of which costs an edit; only what passes both is aligned.
+    """
+    n = len(item)
+    for at in np.flatnonzero(text[: max(len(text) - n + 1, 0)] == item[0]):
+        if (text[at : at + n] == item).all():
+            return 0, int(at) + n
+    if (~np.isin(item, text)).sum() > most:
+        return None
+    best, end = best_run(item, text)
+    return (best, end) if best <= most else None
+
+
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +204,11 @@ def _verified(least: float):
                 data, offsets = words.buffers(batch.column(k))
                 h, first, _, _ = _piece(data, offsets)
                 split.append([h[a:b] for a, b in zip(first, first[1:])])
-            got = [best_run(item, text) for text, item in zip(*split)]
-            size = np.array([len(item) for item in split[1]])
-            edits = np.array([g[0] for g in got], dtype=np.int64)
-            keep = pa.array(edits <= (1 - least) * size + 1e-9)
-            end = pa.array(np.array([g[1] for g in got], dtype=np.int64) + batch.column(1).to_numpy())
+            size = np.array([len(item) for item in split[1]], dtype=np.int64)
+            got = [place(item, text, int((1 - least) * len(item) + 1e-9)) for text, item in zip(*split)]
+            keep = pa.array([g is not None for g in got], pa.bool_())
+            edits = np.array([g[0] if g else 0 for g in got], dtype=np.int64)
+            end = pa.array(np.array([g[1] if g else 0 for g in got], dtype=np.int64) + batch.column(1).to_numpy())
             columns = [batch.column(0), batch.column(2), pa.array(edits), pa.array(1 - edits / np.maximum(size, 1)), end]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["row", "item", "edits", "similarity", "end_word"])
 
