@@ -105,6 +105,27 @@ def g9(spark, sf):
     return rounded(metrics.macro_mean(per_event(spark, sf), ["event_mae", "event_spearman"]))
 
 
+@query(
+    "g9_all_macro_means",
+    with_results(
+        """SELECT (SELECT round(avg(event_mae), 6) FROM ev) AS event_mae, (SELECT round(avg(event_spearman), 6) FROM ev) AS event_spearman, (SELECT round(avg(event_ndcg), 6) FROM nd) AS event_ndcg, """
+        + ", ".join(f"(SELECT round(avg({m}_at_k), 6) FROM tk WHERE k = {k}) AS {m}_at_{k}" for m in ("ndcg", "map") for k in (3, 5, 10)),
+        EVENTS.strip(),
+        NDCG.strip(),
+        TOPK.strip(),
+    ),
+)
+def g9_all(spark, sf):
+    """Every per-event metric, averaged over the events."""
+    rows = predictions(spark, sf)
+    at_k = metrics.event_top_k(rows).groupBy("Year", "Race_Num").agg(
+        *[F.max(F.when(F.col("k") == k, F.col(f"{m}_at_k"))).alias(f"{m}_at_{k}") for m in ("ndcg", "map") for k in (3, 5, 10)]
+    )
+    event = ["Year", "Race_Num"]
+    joined = per_event(spark, sf).join(metrics.event_ndcg(rows).drop("event_size"), event, "full").join(at_k, event, "full")
+    return rounded(metrics.macro_mean(joined, [c for c in joined.columns if c not in (*event, "event_size")]))
+
+
 CURVE = f"""
 sg AS (SELECT stddev_pop(pred - y) AS s FROM preds),
 pb AS (SELECT k, round({cdf_sql('((k + 0.5::DOUBLE - pred) / greatest(s, 1e-6::DOUBLE))')}, 9) AS p, CASE WHEN y <= k THEN 1.0::DOUBLE ELSE 0 END AS hit FROM preds, sg, (VALUES (3), (5), (10)) t(k)),
@@ -180,14 +201,19 @@ def g15(spark, sf):
     return rounded(metrics.metrics_by_circuit(predictions(spark, sf)))
 
 
+G16 = """round(avg(e), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(d), 6) AS bias, round(stddev_pop(d), 6) AS std_error,
+    round(avg(CASE WHEN e <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3_accuracy, round(avg(CASE WHEN e <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top5_accuracy,
+    round(avg(CASE WHEN (Position <= 3) = (p <= 3) THEN 1.0::DOUBLE ELSE 0 END), 6) AS podium_accuracy, round(sum(e / Position) / sum(1 / Position), 6) AS weighted_mae, count(*) AS sample_count"""
+
+
 @query(
     "g16_historical_scoring",
     with_results(
-        f"""SELECT 'all' AS segment, 'all' AS value, round(avg(e), 6) AS mae, count(*) AS sample_count FROM h
-            UNION ALL SELECT 'Year', CAST(Year AS VARCHAR), round(avg(e), 6), count(*) FROM h GROUP BY 2
-            UNION ALL SELECT 'Driver', CAST(Driver AS VARCHAR), round(avg(e), 6), count(*) FROM h GROUP BY 2 HAVING count(*) > 5
-            UNION ALL SELECT 'Circuit', Circuit, round(avg(e), 6), count(*) FROM h GROUP BY 2 HAVING count(*) > 3""",
-        "h AS (SELECT *, abs(0.5::DOUBLE * coalesce(Quali_Pos, 0) + 0.5::DOUBLE * coalesce(Grid, 0) + 2.0::DOUBLE - Position) AS e FROM panel)",
+        f"""SELECT 'all' AS segment, 'all' AS value, {G16} FROM h
+            UNION ALL SELECT 'Year', CAST(Year AS VARCHAR), {G16} FROM h GROUP BY 2
+            UNION ALL SELECT 'Driver', CAST(Driver AS VARCHAR), {G16} FROM h GROUP BY 2 HAVING count(*) > 5
+            UNION ALL SELECT 'Circuit', Circuit, {G16} FROM h GROUP BY 2 HAVING count(*) > 3""",
+        "h AS (SELECT *, p - Position AS d, abs(p - Position) AS e FROM (SELECT *, 0.5::DOUBLE * coalesce(Quali_Pos, 0) + 0.5::DOUBLE * coalesce(Grid, 0) + 2.0::DOUBLE AS p FROM panel))",
     ),
 )
 def g16(spark, sf):
@@ -217,22 +243,29 @@ def g17_top(spark, sf):
     return rounded(metrics.top_movers(comparison(spark, sf)))
 
 
+G18 = ["mae", "mse", "rmse", "r2", "top3_accuracy", "top5_accuracy", "exact_accuracy", "podium_precision", "podium_recall", "points_precision", "points_recall"]
+
+
+def _g18_sql(model: str, p: str) -> str:
+    def share(k: int, of: str) -> str:
+        return f"count(*) FILTER (WHERE y <= {k} AND {p} <= {k})::DOUBLE / count(*) FILTER (WHERE {of} <= {k})"
+
+    e = f"abs({p} - y)"
+    cells = [f"avg({e})", f"avg({e} * {e})", f"sqrt(avg({e} * {e}))", f"1 - sum({e} * {e}) / sum((y - (SELECT avg(y) FROM preds)) ** 2)"]
+    cells += [f"avg(CASE WHEN {e} <= {k} THEN 1.0::DOUBLE ELSE 0 END)" for k in (3, 5, 0)]
+    cells += [share(k, of) for k in (3, 10) for of in (p, "y")]
+    return f"SELECT '{model}' AS model, " + ", ".join(f"{c} AS {n}" for c, n in zip(cells, G18)) + " FROM preds"
+
+
 @query(
     "g18_metrics_long",
-    with_results(
-        f"""SELECT model, metric, round(value, 6) AS value FROM (
-            SELECT 'quali' AS model, avg(e) AS mae, {_share('e <= 3')} AS top3_accuracy FROM err
-            UNION ALL SELECT 'grid', avg(abs(p2 - y)), avg(CASE WHEN abs(p2 - y) <= 3 THEN 1.0::DOUBLE ELSE 0 END) FROM preds)
-            UNPIVOT (value FOR metric IN (mae, top3_accuracy))""",
-        ERR,
-    ),
+    with_results(f"SELECT model, metric, round(value, 6) AS value FROM ({_g18_sql('quali', 'pred')} UNION ALL {_g18_sql('grid', 'p2')}) UNPIVOT (value FOR metric IN ({', '.join(G18)}))"),
 )
 def g18(spark, sf):
     rows = predictions(spark, sf)
     long = None
     for model, col in (("quali", "pred"), ("grid", "p2")):
-        one = metrics.error_metrics(rows, pred=col).select("mae")
-        two = metrics.tolerance_accuracy(rows, pred=col).select("top3_accuracy")
-        part = metrics.metrics_long(one, model).unionByName(metrics.metrics_long(two, model))
-        long = part if long is None else long.unionByName(part)
+        for part in (metrics.error_metrics(rows, pred=col), metrics.tolerance_accuracy(rows, pred=col), metrics.threshold_metrics(rows, pred=col).drop("podium_f1")):
+            one = metrics.metrics_long(part, model)
+            long = one if long is None else long.unionByName(one)
     return rounded(long)

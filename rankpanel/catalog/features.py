@@ -74,6 +74,14 @@ def c7(spark, sf):
     return ft.circuit_clusters(rows)
 
 
+@query("c7_cluster_properties", with_results("SELECT count(DISTINCT Circuit) AS circuits, 0 AS least, 3 AS greatest, 4 AS labels FROM attr", ATTR_SQL))
+def c7_properties(spark, sf):
+    """Every circuit has one label, and the labels are 0 to 3."""
+    label = F.col("Circuit_Cluster").cast("int")
+    got = c7(spark, sf).groupBy("Circuit").agg(F.max(label).alias("l"), F.count_distinct(label).alias("n")).where("n = 1")
+    return got.agg(F.count("Circuit").alias("circuits"), F.min("l").alias("least"), F.max("l").alias("greatest"), F.count_distinct("l").alias("labels"))
+
+
 @query(
     "c8_cluster_aggregates",
     with_results(

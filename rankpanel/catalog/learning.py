@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankpanel.catalog.base import panel, predictions, query, rounded, with_results
@@ -56,6 +57,40 @@ def d12(spark, sf):
     return spark.createDataFrame(rows, "place int, params string, loss double")
 
 
+@query("d10_fold_properties", "SELECT model, 2 AS folds, 0 AS twice, true AS beats_mean FROM (VALUES ('forest'), ('gbt'), ('linear')) t(model)")
+def d10_properties(spark, sf):
+    """Every model covers both folds, a row once, and errs less than the mean position does."""
+    table, features = matrix(spark, sf)
+    oof = training.out_of_fold_predictions(table, features, time_folds(spark, sf), ranker=False)
+    mean = F.avg("y").over(Window.partitionBy("model", "fold"))
+    once = oof.withColumn("m", mean).groupBy("model", "fold", *ROW_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("y") - F.col("pred"))).alias("e"), F.max(F.abs(F.col("y") - F.col("m"))).alias("b")
+    )
+    return once.groupBy("model").agg(
+        F.count_distinct("fold").cast("int").alias("folds"), F.sum((F.col("n") > 1).cast("int")).cast("int").alias("twice"), (F.avg("e") < F.avg("b")).alias("beats_mean")
+    )
+
+
+@query("d11_ranker_properties", with_results("SELECT Year, Race_Num, count(*) AS entrants, 1 AS first, count(*) AS last, count(*) AS places FROM results WHERE Year = 2001 GROUP BY 1, 2"))
+def d11_properties(spark, sf):
+    """The pair ranker's places of every held-out event are a permutation."""
+    table, features = matrix(spark, sf)
+    medians = splits.train_medians(table.where("Year < 2001"), features)
+    filled = materialize(splits.impute_from(table, medians, features), "filled")
+    ranker = training.fit_pair_ranker(filled.where("Year < 2001"), features)
+    ranks = splits.score_ranks(ranker.transform(filled.where("Year = 2001")), "prediction", "rank")
+    return ranks.groupBy("Year", "Race_Num").agg(
+        F.count(F.lit(1)).alias("entrants"), F.min("rank").alias("first"), F.max("rank").alias("last"), F.count_distinct("rank").alias("places")
+    )
+
+
+@query("d12_search_properties", "SELECT * FROM (VALUES (1, true), (2, true)) t(place, in_order)")
+def d12_properties(spark, sf):
+    """Both settings are tried and come in the order of their loss."""
+    before = F.lag("loss").over(Window.orderBy("place"))
+    return d12(spark, sf).select("place", F.coalesce(before <= F.col("loss"), F.lit(True)).alias("in_order"))
+
+
 FOLD_PREDS = f"""
 lp AS (SELECT Year, Race_Num, Driver, y, unnest(['pred', 'p2', 'p3']) AS model, unnest([pred, p2, p3]) AS p FROM preds),
 lf AS (SELECT * FROM lp WHERE NOT (model = 'p2' AND Driver % 11 = 0))
@@ -196,3 +231,14 @@ def d22(spark, sf):
     filled = materialize(splits.impute_from(table, medians, features), "filled")
     model = training.fit_dnf_model(filled, features, [2001])
     return model.transform(filled).groupBy("Year").agg(F.avg("dnf_prob").alias("mean_prob"), F.avg("DNF").alias("observed"))
+
+
+@query("d22_probability_properties", "SELECT true AS in_range, true AS near_rate")
+def d22_properties(spark, sf):
+    """Calibrated probabilities lie in 0 to 1, and their mean on the season they are calibrated on is the observed rate."""
+    table, features = matrix(spark, sf)
+    medians = splits.train_medians(table.where("Year < 2001"), features)
+    filled = materialize(splits.impute_from(table, medians, features), "filled")
+    scored = training.fit_dnf_model(filled, features, [2001]).transform(filled)
+    gap = F.abs(F.avg(F.when(F.col("Year") == 2001, F.col("dnf_prob"))) - F.avg(F.when(F.col("Year") == 2001, F.col("DNF"))))
+    return scored.agg(F.bool_and(F.col("dnf_prob").between(0, 1)).alias("in_range"), (gap < 0.02).alias("near_rate"))

@@ -176,3 +176,20 @@ def e1(spark, sf):
 def e9(spark, sf):
     """All rounds of the last season in one plan: features as of each event, model, ranks, bands."""
     return plan.score_events(panel(spark, sf), schedule(spark, sf), "race", train_before=2001)
+
+
+@query("e1_order_properties", with_results("SELECT Year, Race_Num, count(*) AS entrants, 1 AS first, count(*) AS last, count(*) AS places FROM results WHERE Year >= 2001 GROUP BY 1, 2"))
+def e1_properties(spark, sf):
+    """The places of every event are a permutation of 1 to its number of entrants."""
+    place = F.col("Predicted_Quali_Pos")
+    return e1(spark, sf).groupBy("Year", "Race_Num").agg(
+        F.count(F.lit(1)).alias("entrants"), F.min(place).alias("first"), F.max(place).alias("last"), F.count_distinct(place).alias("places")
+    )
+
+
+@query("e9_scoring_properties", with_results("SELECT Year, Race_Num, count(*) AS entrants, true AS in_band, true AS likely FROM results WHERE Year >= 2001 GROUP BY 1, 2"))
+def e9_properties(spark, sf):
+    """Every entrant is scored once, lies in its band, and the top ten is at least as likely as the podium."""
+    in_band = (F.col("Lower_Pos") <= F.col("Predicted_Race_Pos")) & (F.col("Predicted_Race_Pos") <= F.col("Upper_Pos"))
+    likely = (F.col("Prob_Podium") >= 0) & (F.col("Prob_Podium") <= F.col("Prob_Top10")) & (F.col("Prob_Top10") <= 1) & F.col("dnf_prob").between(0, 1)
+    return e9(spark, sf).groupBy("Year", "Race_Num").agg(F.count_distinct("Driver").alias("entrants"), F.bool_and(in_band).alias("in_band"), F.bool_and(likely).alias("likely"))

@@ -288,6 +288,23 @@ def a16(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "a16_registry_values",
+    with_results(
+        """SELECT 'median' AS kind, name, round(value, 6) AS value FROM (SELECT median(pred) AS pred, median(p2) AS p2, median(p3) AS p3 FROM preds) UNPIVOT (value FOR name IN (pred, p2, p3))
+           UNION ALL SELECT 'weights', 'sum', 1.0 UNION ALL SELECT 'weights', 'negative', 0.0"""
+    ),
+)
+def a16_values(spark, sf):
+    """What the registry row holds: a median per feature, and weights that are not negative and sum to 1."""
+    row = a16(spark, sf)
+    medians = row.select(F.explode("imputation_values").alias("name", "value")).select(F.lit("median").alias("kind"), "name", "value")
+    weights = row.select(F.explode("weights").alias("w"))
+    total = weights.agg(F.sum("w").alias("value")).select(F.lit("weights").alias("kind"), F.lit("sum").alias("name"), "value")
+    below = weights.agg(F.sum(F.when(F.col("w") < 0, 1.0).otherwise(0.0)).alias("value")).select(F.lit("weights").alias("kind"), F.lit("negative").alias("name"), "value")
+    return rounded(medians.unionByName(total).unionByName(below))
+
+
 @query("a17_schedule_listing", with_results("SELECT Year, RoundNumber, EventName, strftime(EventDate::TIMESTAMP + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS EventDateUtc FROM schedule"))
 def a17(spark, sf):
     """Dates are wall-clock in a zone five hours behind UTC."""

@@ -21,7 +21,8 @@ def feature_matrix(panel: DataFrame, target: str) -> tuple[DataFrame, list[str]]
     """(key, Team, DNF, y, features) without same-event outcomes."""
     built = build_features(panel, STEPS, FeatureInputs(windows=WINDOWS))
     safe = splits.drop_outcomes(built, target, [*KEY, "Team"])
-    numeric = [c for c, t in safe.dtypes if t in ("int", "bigint", "double") and c not in KEY]
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    numeric = [c for c, t in safe.dtypes if t.partition("(")[0] in numbers and c not in KEY]
     kept = built.select(*KEY, "Team", F.col("DNF"), F.col(target).alias("y"), *[F.col(c).cast("double").alias(c) for c in numeric])
     return kept, numeric
 
