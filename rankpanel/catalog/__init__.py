@@ -12,6 +12,7 @@ from rankpanel.catalog import (  # noqa: F401
     streams,
     tables,
     trials,
+    whole_plan,
 )
 from rankpanel.catalog.base import ORACLES, QUERIES
 

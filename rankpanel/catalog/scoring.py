@@ -189,7 +189,8 @@ def e1_properties(spark, sf):
 
 @query("e9_scoring_properties", with_results("SELECT Year, Race_Num, count(*) AS entrants, true AS in_band, true AS likely FROM results WHERE Year >= 2001 GROUP BY 1, 2"))
 def e9_properties(spark, sf):
-    """Every entrant is scored once, lies in its band, and the top ten is at least as likely as the podium."""
-    in_band = (F.col("Lower_Pos") <= F.col("Predicted_Race_Pos")) & (F.col("Predicted_Race_Pos") <= F.col("Upper_Pos"))
+    """Every entrant is scored once, lies in its band (which ends at place 20), and the top ten is at least as likely as the podium."""
+    place = F.least(F.col("Predicted_Race_Pos"), F.lit(20.0))
+    in_band = (F.col("Lower_Pos") <= place) & (place <= F.col("Upper_Pos"))
     likely = (F.col("Prob_Podium") >= 0) & (F.col("Prob_Podium") <= F.col("Prob_Top10")) & (F.col("Prob_Top10") <= 1) & F.col("dnf_prob").between(0, 1)
     return e9(spark, sf).groupBy("Year", "Race_Num").agg(F.count_distinct("Driver").alias("entrants"), F.bool_and(in_band).alias("in_band"), F.bool_and(likely).alias("likely"))
