@@ -70,12 +70,11 @@ def s2_newest(spark, sf):
     ),
 )
 def s3(spark, sf):
-    """Seasons arrive in order; the state carries form across them."""
-    landing, out, state, check = (scratch_path(spark, x) for x in ("landing", "form", "state", "stream"))
-    rows = results(spark, sf).select("Year", "Driver", (F.col("Year") * 100 + F.col("Race_Num")).cast("long").alias("seq"), "Position")
-    years = [r["Year"] for r in rows.select("Year").distinct().orderBy("Year").collect()]
-    for year in years:
-        rows.where(F.col("Year") == year).drop("Year").write.parquet(f"{landing}/{year}")
-        stream = spark.readStream.schema("Driver long, seq long, Position double").parquet(f"{landing}/*")
-        ingest.online_form(stream, out, state, check)
-    return rounded(spark.read.parquet(out).drop("batch"))
+    """Seasons arrive out of order and split over files, so every batch corrects earlier ones."""
+    landing, out, history, check = (scratch_path(spark, x) for x in ("landing", "form", "history", "stream"))
+    rows = results(spark, sf).select("Driver", (F.col("Year") * 100 + F.col("Race_Num")).cast("long").alias("seq"), "Position")
+    for part in (2, 0, 1):
+        rows.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema("Driver long, seq long, Position double").option("maxFilesPerTrigger", 1).parquet(landing)
+    ingest.online_form(stream, out, history, check)
+    return rounded(ingest.current_form(spark, out))

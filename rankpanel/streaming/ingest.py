@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankpanel.operators import scoring, store
-from rankpanel.operators.ordering import row_numbers
 from rankpanel.operators.timeline import Frame, lagged_frames
 from rankpanel.session import materialize
 
@@ -61,12 +60,14 @@ def refresh_predictions(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         seen = f"{out}-actual"
-        batch.select(*KEY, "Quali_Pos").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
-        everything = spark.read.parquet(seen)
+        batch.select(*KEY, "Quali_Pos").write.mode("overwrite").partitionBy("Year").parquet(f"{seen}/batch={batch_id}")
+        # seasons are few; of earlier batches only the touched seasons are read
+        years = [r["Year"] for r in batch.select("Year").distinct().collect()]
+        everything = spark.read.parquet(seen).where(F.col("Year").isin(years))
         now = everything.where(F.col("batch") == batch_id).select(*EVENT).distinct()
         # an event's rows may come in several batches: all of them count, the newest per driver wins
         so_far = everything.where(F.col("batch") <= batch_id).join(now, EVENT, "left_semi")
-        actual = store.latest_by(so_far, KEY, ["batch"]).drop("batch")
+        actual = store.latest_by(so_far, KEY, ["batch"]).drop("batch").select(*KEY, "Quali_Pos")
         touched = roster.join(now, EVENT, "left_semi")
         store.upsert_table(out, scoring.choose_qualifying(touched, "auto", actual, predicted).select(first.columns), KEY)
 
@@ -75,29 +76,37 @@ def refresh_predictions(
     query.awaitTermination()
 
 
-def online_form(stream: DataFrame, out: str, state: str, checkpoint: str, rows: int = 3) -> None:
-    """Mean of a driver's last ``rows`` positions before each result, carried across batches.
+def online_form(stream: DataFrame, out: str, history: str, checkpoint: str, rows: int = 3, buckets: int = 16) -> None:
+    """Mean of a driver's last ``rows`` positions before each result, kept up to date as results arrive in any order.
 
-    ``stream`` has (Driver, seq, Position) and arrives in time order. The state
-    is a table with each driver's last ``rows`` values, one version per batch,
-    so a replayed batch starts from the same state and writes the same rows. A
-    batch is one lagged frame over state and new rows: a busy driver is spread
-    over tasks like any large group.
+    ``stream`` has (Driver, seq, Position). Arrived rows are kept by a hash of
+    the driver; a batch reads the buckets of its drivers, and of those only its
+    drivers' rows. It writes the new rows and the ``rows`` ones after each of
+    them, whose form a late result changes; ``current_form`` takes the newest
+    version of every row. A replayed batch rewrites its own folders. A batch is
+    one lagged frame, so a busy driver is spread over tasks like any large group.
     """
-    schema = "Driver long, seq long, Position double"
+    key = ["Driver", "seq"]
+    schema = "Driver long, seq long, Position double, bucket int, batch long"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = batch.select("Driver", "seq", "Position").withColumn("is_new", F.lit(True))
-        both = arrived
-        if batch_id > 0:
-            known = spark.read.schema(schema).parquet(f"{state}/{batch_id - 1}")
-            both = arrived.unionByName(known.withColumn("is_new", F.lit(False)))
-        both = materialize(both, "form")
-        formed = lagged_frames(both, ["Driver"], [Frame("form", "avg", "Position", rows)], ["seq"])
-        formed.where("is_new").select("Driver", "seq", "form").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        newest = row_numbers(both, ["Driver"], [F.col("seq").desc()], "_age").where(F.col("_age") <= rows)
-        newest.select("Driver", "seq", "Position").write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        bucket = F.pmod(F.xxhash64("Driver"), F.lit(buckets)).cast("int")
+        arrived = materialize(batch.select(*key, "Position").withColumn("bucket", bucket).dropDuplicates(key), "arrived")
+        arrived.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={batch_id}")
+        touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]
+        known = spark.read.schema(schema).parquet(history).where((F.col("batch") <= batch_id) & F.col("bucket").isin(touched))
+        known = known.join(arrived.select("Driver").distinct(), "Driver", "left_semi")
+        both = store.latest_by(known, key, ["batch"]).withColumn("_new", (F.col("batch") == batch_id).cast("int"))
+        frames = [Frame("form", "avg", "Position", rows), Frame("_after", "sum", "_new", rows)]
+        formed = lagged_frames(materialize(both, "form"), ["Driver"], frames, ["seq"])
+        changed = formed.where((F.col("_new") == 1) | (F.col("_after") > 0))
+        changed.select(*key, "form").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def current_form(spark: SparkSession, out: str) -> DataFrame:
+    """(Driver, seq, form): the newest version of every row."""
+    return store.latest_by(spark.read.parquet(out), ["Driver", "seq"], ["batch"]).drop("batch")
