@@ -47,7 +47,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *counts)
 
 
-@query("op3_sorted_projections")
+@query("op3_sorted_projections", sorted_projections.ORACLE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_projections.groups(table(spark, sf_dir, "embeddings"))
 
@@ -57,7 +57,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op5_seed_extend")
+@query("op5_seed_extend", substrings.ORACLE_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("repeats").cast("long").alias("n_repeats"))
@@ -73,7 +73,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.by_position(curriculum.plan(table(spark, sf_dir, "documents"))).drop("source")
 
 
-@query("op8_secret_trigrams")
+@query("op8_secret_trigrams", secrets.oracle_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
 

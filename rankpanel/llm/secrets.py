@@ -30,7 +30,7 @@ FLUSH_AT = 64
 class Rule:
     """``pattern`` is matched leftmost without overlap; matches with fewer than ``least`` characters in ``group`` are dropped.
 
-    ``guard``, where given, matches in every text that has a span to keep.
+    ``guard``, where given, has the same kept matches and no others.
     """
 
     kind: str
@@ -42,8 +42,8 @@ class Rule:
 
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14}"),
-    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA[A-Z0-9]{14,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16,}"),
 )
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{20,}"),
@@ -163,10 +163,10 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str], k
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end) of the matches that pass, from the texts between the matches and the matches."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.guard or rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), tested.alias("part"))
+    zipped = F.arrays_zip(F.split(text, rule.guard or rule.pattern, -1).alias("gap"), whole.alias("hit"), tested.alias("part"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -205,3 +205,28 @@ def summary(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     numbers = F.transform("spans", lambda s: s["number"])
     counts = [(F.size("spans") - F.size(F.array_remove(numbers, F.lit(i)))).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return scanned.select(key, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """``summary`` of ``scan`` over the documents as DuckDB SQL, without an index."""
+
+    def text(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    parts, spans_of = [], []
+    for i, r in enumerate(rules):
+        p = text(r.guard or r.pattern)
+        parts.append(f"regexp_extract_all(text, {p}, 0) AS h{i}, regexp_extract_all(text, {p}, {r.group}) AS g{i}, string_split_regex(text, {p}) AS s{i}")
+        upto = f"CAST(list_sum(list_transform(s{i}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(h{i}[1:k-1], lambda x: length(x))), 0) AS BIGINT)"
+        one = f"{{'start': {upto}, 'number': {i}, 'end': {upto} + length(h{i}[k]), 'size': length(g{i}[k])}}"
+        spans_of.append(f"list_filter(list_transform(range(1, len(h{i}) + 1), lambda k: {one}), lambda x: x.size >= {r.least})")
+    kinds = "[" + ", ".join(text(r.kind) for r in rules) + "]"
+
+    def joined_of(found: str) -> str:
+        return f"array_to_string(list_transform({found}, lambda s: {kinds}[s.number + 1] || ':' || s.start || ':' || s.end), ',')"
+
+    counts = ", ".join(f"len(list_filter(found, lambda x: x.number = {i})) AS n_{r.kind}" for i, r in enumerate(BASE))
+    base = f"list_filter(found, lambda x: x.number < {len(BASE)})"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS (SELECT doc_id, {", ".join(parts)} FROM t),
+        f AS (SELECT doc_id, list_sort(flatten([{", ".join(spans_of)}])) AS found FROM m)
+        SELECT doc_id, {counts}, sha256({joined_of(base)}) AS base_sha256, {joined_of("found")} AS spans FROM f"""

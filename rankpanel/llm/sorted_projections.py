@@ -317,3 +317,13 @@ def groups(table: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
         return out.select(F.col("_k").alias(key), "n_links", F.col("_root").alias("component_id"), kept)
     named = table.select(F.col(row).alias("_named"), F.col(key).alias("component_id"))
     return out.join(named, F.col("_root") == F.col("_named")).select(F.col("_k").alias(key), "n_links", "component_id", kept)
+
+
+#: ``groups`` over the embeddings as DuckDB SQL: every pair of a label is compared.
+ORACLE_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+    c AS (SELECT x, min(y) AS least FROM reach GROUP BY 1), n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(least, vec_id), vec_id) AS component_id, coalesce(least(least, vec_id), vec_id) = vec_id AS kept
+    FROM v LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""

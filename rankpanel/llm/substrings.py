@@ -187,3 +187,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, g
     if row == key:
         return kept.withColumnRenamed("_kept_row", key)
     return kept.join(numbered.select(row, key), F.col("_kept_row") == F.col(row)).drop("_kept_row", row)
+
+
+#: The digest of ``remove_repeats`` over the documents as DuckDB SQL: every window is compared.
+ORACLE_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+    d AS (SELECT doc_id, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+    gone AS (SELECT DISTINCT doc_id, i + o AS p FROM d, range(35) r(o)),
+    runs AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE q IS NULL OR q < p - 1) AS r FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM gone) GROUP BY 1),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(r, 0) AS n_repeats
+    FROM w LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)"""

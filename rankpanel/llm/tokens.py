@@ -33,8 +33,8 @@ from rankpanel.llm.tables import ship_package
 from rankpanel.session import scratch_path, shuffle_partitions
 
 END = 2
-FILE_BYTES, FILE_IDS = 6 << 20, 1 << 21
-KEPT = 400_000
+FILE_BYTES, FILE_IDS = 4 << 20, 1 << 21
+KEPT, PIECES = 300_000, 8192
 FILES = "part int, file int, n_ids long, keys array<long>, counts array<long>, payload binary"
 
 _WHITE = np.zeros(256, dtype=bool)
@@ -66,20 +66,23 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known = np.zeros(0, dtype=np.uint64)
         self.begin, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint16)
+        self.ids = np.zeros(0, dtype=np.int32)
 
     def _fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        done = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())], add_special_tokens=False)
-        ids = [d.ids for d in done]
-        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return np.fromiter((x for i in ids for x in i), dtype=np.int64, count=int(count.sum())), count
+        ids, counts = [], []
+        for lo in range(0, len(start), PIECES):  # what the tokenizer returns is large beside the ids
+            some = [raw[a:b].decode() for a, b in zip(start[lo : lo + PIECES].tolist(), end[lo : lo + PIECES].tolist())]
+            got = [d.ids for d in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+            ids.append(np.fromiter((x for i in got for x in i), dtype=np.int32, count=int(counts[-1].sum())))
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the number of ids of each row."""
         start = cut_points(data, offsets)
         if not len(start):
-            return np.zeros(0, dtype=np.int64), np.zeros(len(offsets) - 1, dtype=np.int64)
+            return np.zeros(0, dtype=np.int32), np.zeros(len(offsets) - 1, dtype=np.int64)
         end = np.append(start[1:], len(data))
         key, first, which = np.unique(words.hashes(data, start, end), return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, key)
@@ -95,7 +98,7 @@ class PieceTokenizer:
         long = count_of[which]
         source = np.repeat(begin_of[which] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
         per_row = np.add.reduceat(np.append(long, 0), np.minimum(np.searchsorted(start, offsets[:-1]), len(long))) * (np.diff(offsets) > 0)
-        out = pool[source].astype(np.int64)
+        out = pool[source]
         room = KEPT - len(self.known)
         if room > 0 and len(new):
             kept = new[:room]
