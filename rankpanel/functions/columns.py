@@ -103,7 +103,3 @@ def row_digest(cols: Sequence[str]) -> Column:
 def digest_number(digest: Column) -> Column:
     """The first 60 bits of an md5 text as a number that sums without overflow."""
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
-
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)

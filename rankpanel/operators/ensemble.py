@@ -15,9 +15,13 @@ EVENT = ["Year", "Race_Num"]
 
 
 def simplex(models: int, parts: int) -> list[tuple[float, ...]]:
-    """All weight vectors whose entries are multiples of ``1 / parts`` and sum to 1."""
-    grid = [c for c in itertools.product(range(parts + 1), repeat=models) if sum(c) == parts]
-    return [tuple(x / parts for x in c) for c in grid]
+    """All weight vectors whose entries are multiples of ``1 / parts`` and sum to 1, made from the places of the bars between them."""
+    total = parts + models - 1
+    out = []
+    for bars in itertools.combinations(range(total), models - 1):
+        edges = (-1, *bars, total)
+        out.append(tuple((b - a - 1) / parts for a, b in zip(edges, edges[1:])))
+    return out
 
 
 def _blend(models: Sequence[str], weights: Sequence[float]) -> str:

@@ -22,6 +22,7 @@ from rankpanel.session import join_small, materialize, max_group_rows
 
 EVENT = ["Year", "Race_Num"]
 METRICS = ("Position", "Quali_Pos", "DNF")
+# Window names and lengths.
 WINDOWS = {"short": 3, "medium": 5, "long": 10, "season": 23}
 # Default circuit categories.
 CATEGORIES = {
@@ -29,6 +30,7 @@ CATEGORIES = {
     "high_speed": ("Italian", "Belgian", "British", "Japanese", "Bahrain"),
     "technical": ("Hungarian", "Spanish", "Abu Dhabi"),
 }
+# Names of the circuit attributes.
 ATTRIBUTES = (
     "Pit_Loss_Time",
     "Overtake_Difficulty",
@@ -242,6 +244,7 @@ def sprint_flag(df: DataFrame) -> DataFrame:
     return df.withColumn("Is_Sprint", flag)
 
 
+# Rain, temperature and wind limits.
 def weather_flags(
     df: DataFrame, rain: float = 30, best_range: tuple[float, float] = (20, 30), wind: float = 25
 ) -> DataFrame:

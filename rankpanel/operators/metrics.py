@@ -164,6 +164,7 @@ def drift_table(per_event: DataFrame, window: int = 6) -> DataFrame:
     return out.select(*per_event.columns, *cols)
 
 
+# Alert limits.
 def drift_summary(drift: DataFrame, mae_limit: float = 0.5, spearman_limit: float = 0.15) -> DataFrame:
     """Latest rolling values against the whole history, with alerts."""
     last = F.max_by(F.struct("mae_roll", "spearman_roll"), F.struct(*EVENT))

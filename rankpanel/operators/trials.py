@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from rankpanel.functions.columns import clamp, points_for
 from rankpanel.operators.ordering import exact_quantiles, row_numbers
 
+# Retirement probability where none is known; width of an 80 % interval in deviations, default and range.
 DEFAULT_DNF_PROBABILITY = 0.08
+INTERVAL_WIDTH, DEFAULT_SPREAD, SPREAD_RANGE = 2.56, 2.0, (0.5, 5.0)
 
 
 def interval_sigma(low: Column, high: Column) -> Column:
     """Spread of an 80 % interval, 2.0 when a bound is missing, within [0.5, 5]."""
     ok = low.isNotNull() & high.isNotNull() & ~F.isnan(low) & ~F.isnan(high)
-    return clamp(F.when(ok, (high - low) / 2.56).otherwise(F.lit(2.0)), 0.5, 5.0)
+    return clamp(F.when(ok, (high - low) / INTERVAL_WIDTH).otherwise(F.lit(DEFAULT_SPREAD)), *SPREAD_RANGE)
 
 
 def lookup_probability(df: DataFrame, probs: DataFrame, out: str = "dnf_prob", default: float = DEFAULT_DNF_PROBABILITY) -> DataFrame:

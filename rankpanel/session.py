@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
 DEFAULT_MAX_BROADCAST_CELLS = 4_000_000
 
+#: Long texts make few cells large: bytes of all values a broadcast table may have.
+MAX_BROADCAST_BYTES = 256 << 20
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -84,6 +87,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _size(side: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of the values) of a table; a fixed-width value counts 8 bytes without being read."""
+    texts = [c for c, t in side.dtypes if t in ("string", "binary") or t.startswith(("array", "map", "struct"))]
+    size = F.lit(8 * (len(side.columns) - len(texts)))
+    for c in texts:
+        size = size + F.coalesce(F.length(F.col(c).cast("string")), F.lit(0))
+    row = side.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def join_small(df: DataFrame, side: DataFrame, keys: list[str], label: str, how: str = "left") -> DataFrame:
     """Join a per-group table, which is written once and counted first.
 
@@ -92,5 +105,6 @@ def join_small(df: DataFrame, side: DataFrame, keys: list[str], label: str, how:
     """
     side = materialize(side, label)
     limit = int(df.sparkSession.conf.get("spark.rankpanel.maxBroadcastCells", str(DEFAULT_MAX_BROADCAST_CELLS)))
-    small = side.count() * len(side.columns) <= limit
+    rows, size = _size(side)
+    small = rows * len(side.columns) <= limit and size <= MAX_BROADCAST_BYTES
     return df.join(F.broadcast(side) if small else side, keys, how)
