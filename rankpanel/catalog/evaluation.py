@@ -8,6 +8,8 @@ from rankpanel.catalog.base import predictions, query, rounded, with_results
 from rankpanel.catalog.scoring import cdf_sql
 from rankpanel.operators import metrics
 from rankpanel.plans import evaluation as plan
+from rankpanel.session import scratch_path
+from rankpanel.sources import sinks
 from rankpanel.sources.tables import stored
 
 
@@ -269,3 +271,33 @@ def g18(spark, sf):
             one = metrics.metrics_long(part, model)
             long = one if long is None else long.unionByName(one)
     return rounded(long)
+
+
+@query(
+    "a15_evaluation_tables",
+    with_results(
+        """SELECT 'by_year' AS name, count(DISTINCT Year) AS rows FROM preds UNION ALL SELECT 'comparison', count(*) FROM cmp UNION ALL SELECT 'per_event', count(*) FROM ev
+           UNION ALL SELECT 'reliability', count(*) FROM cv UNION ALL SELECT 'drift', count(*) FROM dr""",
+        COMPARE,
+        EVENTS.strip(),
+        CURVE.strip(),
+        DRIFT.strip(),
+    ),
+)
+def a15_tables(spark, sf):
+    """All five tables of an evaluation, written and read back."""
+    rows = predictions(spark, sf)
+    tables = {
+        "by_year": metrics.metrics_by_year(rows),
+        "comparison": comparison(spark, sf),
+        "per_event": per_event(spark, sf),
+        "reliability": metrics.reliability_curve(rows),
+        "drift": metrics.drift_table(per_event(spark, sf)),
+    }
+    path = scratch_path(spark, "evaluation")
+    sinks.write_evaluation(path, tables)
+    out = None
+    for name in tables:
+        one = spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")).select("name", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out

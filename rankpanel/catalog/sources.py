@@ -243,18 +243,30 @@ def a13(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("a14_feature_cache", with_results("SELECT Year, count(*) AS rows, sum(Position) AS positions FROM results GROUP BY 1"))
+@query(
+    "a14_feature_cache",
+    with_results(
+        """SELECT Year, count(*) AS rows, sum(Position) AS positions, round(sum(f), 4) AS form, 1 AS builds FROM (
+           SELECT Year, Position, avg(Position) OVER (PARTITION BY Driver ORDER BY Year, Race_Num ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS f FROM results) GROUP BY 1"""
+    ),
+)
 def a14(spark, sf):
-    """The second call reads what the first one wrote."""
+    """Two calls build the features once; the second one reads what the first one wrote."""
+    from rankpanel.plans.features import build_features, prepare
+
     root = scratch_path(spark, "cache")
     r, q = races(spark, sf), qualifying(spark, sf)
+    builds = []
 
     def build():
-        return r.select(*ROW_KEY, "Position")
+        builds.append(1)
+        return build_features(prepare(r, q), ["rolling"]).select(*ROW_KEY, "Position", "Driver_Avg_Position_short")
 
     sinks.cached_features(spark, root, [r, q], ["rolling"], "v1", build)
     again = sinks.cached_features(spark, root, [r, q], ["rolling"], "v1", build)
-    return again.groupBy("Year").agg(F.count(F.lit(1)).alias("rows"), F.sum("Position").alias("positions"))
+    return again.groupBy("Year").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("Position").alias("positions"), F.round(F.sum("Driver_Avg_Position_short"), 4).alias("form"), F.lit(len(builds)).alias("builds")
+    )
 
 
 @query(
