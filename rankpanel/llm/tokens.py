@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from rankpanel.llm.tables import ship_package
 from rankpanel.session import scratch_path, shuffle_partitions
 
 END = 2
-FILE_BYTES, FILE_IDS = 4 << 20, 1 << 21
+FILE_BYTES, FILE_IDS = 2 << 20, 1 << 21
 KEPT, PIECES = 300_000, 8192
 FILES = "part int, file int, n_ids long, keys array<long>, counts array<long>, payload binary"
 
@@ -61,6 +62,8 @@ class PieceTokenizer:
     """Ids of texts through a tokenizer file, piece by piece."""
 
     def __init__(self, path: str):
+        # One thread per task: cores belong to Spark, and every thread of the tokenizer would keep memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
