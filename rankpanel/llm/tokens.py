@@ -35,7 +35,7 @@ from rankpanel.session import scratch_path, shuffle_partitions
 
 END = 2
 FILE_BYTES, FILE_IDS = 2 << 20, 1 << 21
-KEPT, PIECES = 300_000, 8192
+KEPT, PIECES = 1_000_000, 8192
 FILES = "part int, file int, n_ids long, keys array<long>, counts array<long>, payload binary"
 
 _WHITE = np.zeros(256, dtype=bool)
