@@ -2,7 +2,8 @@
 
 Found values are validated first (Luhn, calendar, octets, mod 97, number plans)
 and then permuted within their format, so that the pseudonym is valid too,
-equal values stay equal across documents, and two values never meet. Numbers
+equal values stay equal across documents, and two values of one format never
+meet (a month-first date can meet a day-first one). Numbers
 and dates are indexed into a domain a x b and pass through ``ROUNDS`` rounds of
 ``left += f(right) mod a`` and ``right += f(left) mod b``; letters and digits of
 e-mail names and account numbers shift inside their class by the same scheme.
@@ -34,6 +35,7 @@ PATTERNS = {
     "phone": (
         r"(?<![0-9+])\+(?:1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
         r"|[2-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3})(?![0-9])"
+        r"|(?<![0-9+(.-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9.-][0-9]|[0-9])"
     ),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
@@ -144,12 +146,12 @@ def _card(x: Column, secret: str) -> Column:
 
 
 def _phone(x: Column, secret: str) -> Column:
-    """The country code stays; ten digits under +1 stay a valid area, exchange and line."""
+    """The country code stays; ten digits under +1 or without a code stay a valid area, exchange and line."""
     code = F.regexp_extract(x, r"^\+(?:1|[2-9][0-9]{0,2})", 0)
     rest = F.substr(x, F.length(code) + 1, F.length(x))
     d = _digits(rest)
     n = F.length(d)
-    north = (code == "+1") & d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    north = code.isin("+1", "") & d.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
     area, exchange, line = (F.substr(d, F.lit(a), F.lit(b)).cast("long") for a, b in ((1, 3), (4, 3), (7, 4)))
     size = F.lit(80_000).cast("long")
     v = feistel((area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, size, size, secret, "phone+1")
@@ -182,11 +184,14 @@ def _iso_date(x: Column, secret: str) -> Column:
 
 
 def _day_date(x: Column, secret: str) -> Column:
-    """Day first; the separator stays."""
+    """Day first, or month first where day first is no date; order and separator stay."""
     sep = F.substr(x, F.lit(3), F.lit(1))
-    day = F.try_to_date(F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.substr(x, F.lit(4), F.lit(2)), F.substr(x, F.lit(1), F.lit(2))), "yyyy-MM-dd")
-    moved = _moved_day(day, secret)
-    return F.when(day.isNotNull(), F.concat(F.date_format(moved, "dd"), sep, F.date_format(moved, "MM"), sep, F.date_format(moved, "yyyy")))
+    first, second, year = (F.substr(x, F.lit(a), F.lit(b)) for a, b in ((1, 2), (4, 2), (7, 4)))
+    day_first = F.try_to_date(F.concat_ws("-", year, second, first), "yyyy-MM-dd")
+    moved = _moved_day(F.coalesce(day_first, F.try_to_date(F.concat_ws("-", year, first, second), "yyyy-MM-dd")), secret)
+    day, month = F.date_format(moved, "dd"), F.date_format(moved, "MM")
+    ordered = F.when(day_first.isNotNull(), F.concat(day, sep, month)).otherwise(F.concat(month, sep, day))
+    return F.when(moved.isNotNull(), F.concat(ordered, sep, F.date_format(moved, "yyyy")))
 
 
 def _ssn(x: Column, secret: str) -> Column:

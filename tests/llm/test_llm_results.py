@@ -73,6 +73,15 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(pii.pseudonymise(df, "k").drop("found"), "k").first().found == got[1].found
 
 
+def test_more_formats(spark):
+    line = "(415) 555-2671 then 415-555-2671 then 12/31/1999 and +49 151 12345678, not 123-456-78901 or 13/32/1999 or 1.415-555-2671"
+    got = pii.pseudonymise(spark.createDataFrame([(1, line)], "doc_id long, text string"), "k").first()
+    assert got.found == ["phone", "phone", "day_date", "phone"]
+    assert re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4} then [2-9]\d\d-[2-9]\d\d-\d{4} then [01]\d/[0-3]\d/\d{4} and \+49 \d{3} \d{8}, not .*", got.text)
+    assert got.text.endswith("not 123-456-78901 or 13/32/1999 or 1.415-555-2671")
+    assert re.sub(r"\D", "", got.text[:14]) == re.sub(r"\D", "", got.text[20:32])
+
+
 def test_feistel_is_a_permutation(spark):
     n = 17 * 23
     out = spark.range(n).select(pii.feistel(F.col("id"), F.lit(17).cast("long"), F.lit(23).cast("long"), "k", "t").alias("v"))
