@@ -161,6 +161,34 @@ def test_near_copies(spark):
     assert got == root
 
 
+def test_copies_of_copies(spark):
+    """Half are a base with few edits, half are copies of one of those, too far from the base for its hub."""
+    pick = random.Random(4)
+    base = [f"v{pick.randrange(10**6)}" for _ in range(200)]
+
+    def edited(text: list[str], n: int) -> list[str]:
+        text = list(text)
+        for at in pick.sample(range(200), n):
+            text[at] = f"u{pick.randrange(10**6)}"
+        return text
+
+    first = [edited(base, pick.randint(1, 3)) for _ in range(400)]
+    rows = [*first, *(edited(pick.choice(first), 4) for _ in range(400))]
+    s = [_shingles(" ".join(w)) for w in rows]
+    ids, counts = np.unique(np.concatenate(s), return_counts=True)
+    ids = ids[counts > 1]
+    holds = np.array([np.isin(ids, x) for x in s], dtype=np.float32)
+    shared = holds @ holds.T
+    size = np.array([len(x) for x in s])
+    near = shared >= 0.8 * (size[:, None] + size - shared)  # words are replaced in place, so order agrees
+    seen = np.arange(len(rows)) == 0
+    while (grown := seen | near[seen].any(axis=0)).sum() > seen.sum():
+        seen = grown
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    apart = [r.doc_id for r in order_minhash.groups(frame).collect() if (r.component_id == 0) != seen[r.doc_id]]
+    assert seen.sum() > 760 and len(apart) <= 1
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal(32)
