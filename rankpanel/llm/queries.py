@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, decontaminate, licenses, order_minhash, pii, quality, secrets, sorted_projections, substrings, tokens
+from rankpanel.llm import curriculum, decontaminate, licenses, order_minhash, pii, ppm, quality, secrets, sorted_projections, substrings, tokens
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_cgk_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_ppm_score")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), ppm.held_out())
