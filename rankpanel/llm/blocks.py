@@ -26,16 +26,17 @@ COMPACT = 1 << 21
 TOTALS = "part int, key long, n long"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Integers as compressed differences, byte planes apart."""
+def pack(values: np.ndarray, ordered: bool = True) -> bytes:
+    """Integers, or their differences if they are ordered, as compressed byte planes."""
     v = np.ascontiguousarray(values, dtype=np.int64)
-    planes = np.diff(v, prepend=np.int64(0)).view(np.uint8).reshape(len(v), 8).T
+    planes = (np.diff(v, prepend=np.int64(0)) if ordered else v).view(np.uint8).reshape(len(v), 8).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes, ordered: bool = True) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel())
+    values = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum(values) if ordered else values
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +130,13 @@ def _answers(width: int):
                     table, known = [c[order] for c in joined], []
                 out = []
                 for keys in rows.column(2):
-                    at = np.searchsorted(table[0], unpack(keys.as_py()))
-                    out.append(np.concatenate([c[at] for c in table[1:]]).astype(np.float64).tobytes())
+                    asked = unpack(keys.as_py())
+                    at = np.searchsorted(table[0], asked)
+                    known_here = at < len(table[0])
+                    known_here[known_here] = table[0][at[known_here]] == asked[known_here]
+                    found = np.zeros((width, len(asked)))
+                    found[:, known_here] = [c[at[known_here]] for c in table[1:]]
+                    out.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(1), pa.array(np.full(hi - lo, current, np.int32)), rows.column(2), pa.array(out, pa.binary())], ["block", "part", "keys", "answer"]
                 )
@@ -141,7 +147,7 @@ def _answers(width: int):
 def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions: int) -> DataFrame:
     """Rows (block, part, keys, answer): the values of each block's keys, as doubles, column after column.
 
-    ``values`` has one row for every key that any block asks for: part, key, and the columns.
+    ``values`` has a row for each known key: part, key, and the columns. Other keys get zeros.
     """
     known = values.select(
         (F.col("part") * F.lit(2)).alias("place"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "key",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankpanel.llm import curriculum, decontaminate, licenses, order_minhash, pii, ppm, quality, secrets, sorted_projections, substrings, tokens
+from rankpanel.llm import alignment, collocations, curriculum, decontaminate, licenses, order_minhash, pii, ppm, quality, secrets, sorted_projections, substrings, tokens
 from rankpanel.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_ppm_score")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), ppm.held_out())
+
+
+@query("op12_interval_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+@query("op13_automata_collocations", collocations.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(collocations.phrases(table(spark, sf_dir, "documents")))
