@@ -24,6 +24,7 @@ nothing is cut off; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -35,13 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from rankpanel.llm import blocks, words
-from rankpanel.llm.tables import ship_package
+from rankpanel.llm.tables import arrow_rows, ship_package
 from rankpanel.llm.tokens import cut_points
 from rankpanel.session import materialize, shuffle_partitions
 
 #: Bytes of a unit (handled at once) and of a block (asks for counts once); pieces a worker remembers.
-UNIT, BLOCK, KEPT = 4 << 20, 32 << 20, 400_000
-BATCH = 8192
+UNIT, BLOCK, KEPT = 4 << 20, 32 << 20, 300_000
+#: Pieces that are tokenised at once; rows of an Arrow batch of documents, and of units.
+BATCH, ROWS, UNITS = 8192, 2048, 8
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -107,59 +109,106 @@ class Aligned:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.forget()
-
-    def forget(self) -> None:
+        a, b = (max(t) + 1 if isinstance(t, dict) else len(t) for t in (tokenizers.bytes_a, tokenizers.bytes_b))
+        self.size = max(a, b)
+        self.length = [np.zeros(self.size, np.int64) for _ in range(2)]
+        for length, of in zip(self.length, (tokenizers.bytes_a.items(), enumerate(tokenizers.bytes_b))):
+            for i, x in of:
+                length[i] = len(x)
+        # An id as text with each of the four signs that may follow it.
+        self.signed = [f"{i}{sign}" for sign in (",", "|", ";", "\n") for i in range(self.size)]
         self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.stats = np.zeros((5, 0), np.int64)  # n_a, n_b, n_groups, n_links, right
         self.texts: list[str] = []
+        self.uses = np.zeros(0, np.int64)  # units that had the piece
         self.begin, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        """Keep the pieces that most units had."""
+        least = 2
+        while (keep := np.flatnonzero(self.uses >= least)).size > KEPT // 2:
+            least *= 2
+        links, count = self.links_of(keep)
+        place = np.full(len(self.texts), -1)
+        place[keep] = np.arange(len(keep))
+        here = place[self.slot] >= 0
+        self.key, self.slot = self.key[here], place[self.slot[here]]
+        self.stats, self.uses, self.texts = self.stats[:, keep], self.uses[keep], [self.texts[i] for i in keep.tolist()]
+        self.begin, self.links = np.cumsum(count) - count, links
+
     def slots(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of every piece among the known ones, after the new ones are aligned."""
         key, first, which = np.unique(words.hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.key) > KEPT:
-            self.forget()
+            self._forget()
         at = np.searchsorted(self.key, key)
         new = np.ones(len(key), dtype=bool)
         inside = at < len(self.key)
         new[inside] = self.key[at[inside]] != key[inside]
         if new.any():
             raw = data.tobytes()
-            self._learn([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            spans = list(zip(start[first[new]].tolist(), end[first[new]].tolist()))
+            for lo in range(0, len(spans), BATCH):
+                self._learn([raw[a:b] for a, b in spans[lo : lo + BATCH]])
             keys = np.concatenate([self.key, key[new]])
             order = np.argsort(keys, kind="stable")
-            self.key, self.slot = keys[order], np.append(self.slot, np.arange(len(self.texts) - int(new.sum()), len(self.texts)))[order]
+            self.key, self.slot = keys[order], np.append(self.slot, np.arange(len(self.texts) - len(spans), len(self.texts)))[order]
             at = np.searchsorted(self.key, key)
-        return self.slot[at][which]
+        slots = self.slot[at]
+        self.uses[slots] += 1
+        return slots[which]
+
+    def _right(self, pieces: list[bytes], flat: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
+        """Which pieces are the joined bytes of both sides' tokens."""
+        sizes = np.array([len(p) for p in pieces])
+        whole, of = b"".join(pieces), (self.tokenizers.bytes_a, self.tokenizers.bytes_b)
+        right = np.ones(len(pieces), dtype=bool)
+        for ids, edge, length, table in zip(flat, edges, self.length, of):
+            total = np.append(0, np.cumsum(length[ids]))
+            if (np.diff(total[edge]) == sizes).all() and b"".join(map(table.__getitem__, ids.tolist())) == whole:
+                continue
+            right &= [b"".join(map(table.__getitem__, ids[x:y].tolist())) == p for p, x, y in zip(pieces, edge.tolist(), edge[1:].tolist())]
+        return right
 
     def _learn(self, pieces: list[bytes]) -> None:
-        ids_a, ids_b = self.tokenizers.encode([p.decode() for p in pieces])
-        bytes_a, bytes_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        right = np.array([b"".join([bytes_a[i] for i in a]) == p == b"".join([bytes_b[i] for i in b]) for p, a, b in zip(pieces, ids_a, ids_b)])
-        flat, starts, ends, owner = [], [], [], []
-        for ids, size in ((ids_a, bytes_a), (ids_b, bytes_b)):
-            ids = [x if r else [] for x, r in zip(ids, right)]
-            flat.append(np.array([i for x in ids for i in x], dtype=np.int64))
-            ends.append(np.cumsum(np.array([len(size[i]) for x in ids for i in x], dtype=np.int64)))
-            starts.append(np.append(0, ends[-1])[:-1])
-            owner.append(np.repeat(np.arange(len(pieces)), [len(x) for x in ids]))
+        flat, edges = [], []
+        for ids in self.tokenizers.encode([p.decode() for p in pieces]):
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(count.sum())))
+            edges.append(np.append(0, np.cumsum(count)))
+        right = self._right(pieces, flat, edges)
+        n = len(pieces)
+        owner = [np.repeat(np.arange(n), np.diff(e)) for e in edges]
+        if not right.all():
+            flat = [f[right[o]] for f, o in zip(flat, owner)]
+            owner = [o[right[o]] for o in owner]
+        ends = [np.cumsum(length[f]) for f, length in zip(flat, self.length)]
+        starts = [np.append(0, e)[:-1] for e in ends]
         n_a = len(flat[0])
         order, group = coalesce(np.concatenate(starts), np.concatenate(ends))
-        of = np.empty(len(order), np.int64)
-        of[order] = group
-        n = len(pieces)
-        edges = [np.searchsorted(o, np.arange(n + 1)) for o in owner]
         left, right_at = overlaps(starts[0], ends[0], starts[1], ends[1])
         link_owner = owner[0][left]
+        both = np.concatenate(owner)
         group_first = np.append(True, np.diff(group) > 0) if len(group) else np.zeros(0, bool)
-        owners = np.concatenate(owner)[order][group_first]
-        stats = [np.diff(edges[0]), np.diff(edges[1]), np.bincount(owners, minlength=n), np.bincount(link_owner, minlength=n), right.astype(np.int64)]
-        links = (flat[0][left] << 32) | flat[1][right_at]
+        stats = [np.bincount(owner[0], minlength=n), np.bincount(owner[1], minlength=n), np.bincount(both[order][group_first], minlength=n), np.bincount(link_owner, minlength=n), right.astype(np.int64)]
         self.begin = np.append(self.begin, len(self.links) + np.searchsorted(link_owner, np.arange(n)))
-        self.links = np.append(self.links, links)
+        self.links = np.append(self.links, (flat[0][left] << 32) | flat[1][right_at])
         self.stats = np.concatenate([self.stats, np.array(stats)], axis=1)
-        self.texts += _group_texts(ids_a, ids_b, of[:n_a].tolist(), of[n_a:].tolist(), edges, stats[2].tolist())
+        self.uses = np.append(self.uses, np.zeros(n, np.int64))
+        # Tokens by group and side; the sign behind each tells what comes next.
+        of = np.empty(len(order), np.int64)
+        of[order] = group
+        place = of * 2 + (np.arange(len(of)) >= n_a)
+        line = np.argsort(place, kind="stable")
+        place, who = place[line], both[line]
+        step = np.append(place[1:] - place[:-1], 2) if len(place) else place
+        sign = np.where(np.append(who[1:] != who[:-1], True), 3, np.where(step == 0, 0, np.where(place % 2 == 0, 1, 2))) if len(place) else place
+        written = "".join(map(self.signed.__getitem__, (sign * self.size + np.concatenate(flat)[line]).tolist())).split("\n")
+        if right.all():
+            self.texts += written[:n]
+        else:
+            lines = iter(written)
+            self.texts += [next(lines) if r else "" for r in right.tolist()]
 
     def links_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Linked pairs of the given pieces one after another, and their numbers."""
@@ -168,23 +217,6 @@ class Aligned:
         return self.links[at], count
 
 
-def _group_texts(ids_a: list, ids_b: list, group_a: list, group_b: list, edges: list[np.ndarray], n_groups: list[int]) -> list[str]:
-    """Per piece its groups as ``a1,a2|b1;a3|b2``."""
-    out = []
-    for p, (a, b, n) in enumerate(zip(ids_a, ids_b, n_groups)):
-        if n <= 1:
-            out.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}" if n else "")
-            continue
-        la, lb = int(edges[0][p]), int(edges[1][p])
-        base, sides = group_a[la], ([[] for _ in range(n)], [[] for _ in range(n)])
-        for i, x in enumerate(a):
-            sides[0][group_a[la + i] - base].append(str(x))
-        for i, x in enumerate(b):
-            sides[1][group_b[lb + i] - base].append(str(x))
-        out.append(";".join(f"{','.join(x)}|{','.join(y)}" for x, y in zip(*sides)))
-    return out
-
-
 _aligned: dict[tuple, Aligned] = {}
 
 
@@ -313,7 +345,8 @@ def align(docs: DataFrame, key: str = "doc_id", a: str | None = None, b: str | N
         StructField("block", LongType()), StructField("part", IntegerType()), StructField("keys", BinaryType()), StructField("counts", BinaryType()),
         StructField("ids", ArrayType(rows.schema["id"].dataType)), StructField("unit", ArrayType(BinaryType())), StructField("digests", ArrayType(StringType())), StructField("groups", ArrayType(StringType())),
     ])
-    packed = materialize(rows.mapInArrow(_units(parts, a, b, texts), shape), "aligned")
+    with arrow_rows(spark, ROWS):
+        packed = materialize(rows.mapInArrow(_units(parts, a, b, texts), shape), "aligned")
     keys = packed.where(F.col("part").isNotNull())
     told = blocks.answers(keys, pair_counts(keys, parts), ["n", "best"], parts)
     units = packed.where(F.col("part").isNull())
@@ -327,7 +360,8 @@ def align(docs: DataFrame, key: str = "doc_id", a: str | None = None, b: str | N
     result = result.add("groups_sha256", "string")
     if texts:
         result = result.add("groups", "string")
-    return both.mapInArrow(_summed(texts), result).withColumnRenamed("id", key)
+    with arrow_rows(spark, UNITS):
+        return materialize(both.mapInArrow(_summed(texts), result), "sums").withColumnRenamed("id", key)
 
 
 def pair_counts(keys: DataFrame, parts: int) -> DataFrame:
