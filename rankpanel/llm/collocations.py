@@ -35,12 +35,12 @@ from pyspark.sql import functions as F
 
 from rankpanel.llm import automata, blocks, words
 from rankpanel.llm.automata import Labels
-from rankpanel.llm.tables import ship_package
+from rankpanel.llm.tables import arrow_rows, ship_package
 from rankpanel.session import join_small, materialize, shuffle_partitions
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
-#: Bytes of text that are handled at once, and in a shard.
-UNIT, SHARD = 4 << 20, 32 << 20
+#: Bytes of text that are handled at once, and in a shard; rows of an Arrow batch of documents, and of shards.
+UNIT, SHARD, ROWS, BATCH = 4 << 20, 16 << 20, 2048, 4
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -341,16 +341,19 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     ship_package(spark)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = materialize(rows.mapInArrow(_shards(parts), SHARDS), "shards")
+    with arrow_rows(spark, ROWS):
+        shards = materialize(rows.mapInArrow(_shards(parts), SHARDS), "shards")
     asked, sequences = shards.where(F.col("part").isNotNull()), shards.where(F.col("part").isNull())
     frequent = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-words")
     told = blocks.answers(asked, frequent, ["n"], parts)
-    reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts, least), REDUCED), "reduced")
+    with arrow_rows(spark, BATCH):
+        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts, least), REDUCED), "reduced")
     asked, sequences = reduced.where(F.col("part").isNotNull()), reduced.where(F.col("part").isNull())
     pairs = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-pairs")
     told = blocks.answers(asked, pairs, ["n"], parts)
-    cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, least, longest), "range int, automaton array<binary>")
-    found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
+    with arrow_rows(spark, BATCH):
+        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, least, longest), "range int, automaton array<binary>")
+        found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
     tails = found.where(F.size("words") > 2).select("id", "words", "weights").mapInArrow(_tails(parts, longest), "range int, id long, cut int, tail array<long>, n long")
     known = found.select((F.col("range") * 2).alias("place"), "id", "words", F.lit(0).alias("cut"), F.element_at("weights", -1).alias("n"))
     both = known.unionByName(tails.select((F.col("range") * 2 + 1).alias("place"), "id", F.col("tail").alias("words"), "cut", "n"))
