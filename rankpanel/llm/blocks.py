@@ -109,7 +109,7 @@ def totals(packed: DataFrame, partitions: int) -> DataFrame:
     return rows.mapInArrow(_totals, TOTALS)
 
 
-def _answers(width: int):
+def _answers(width: int, known_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[list[np.ndarray]] = []
         table: list[np.ndarray] | None = None
@@ -128,26 +128,30 @@ def _answers(width: int):
                     joined = [np.concatenate([k[i] for k in known]) if known else np.zeros(0) for i in range(width + 1)]
                     order = np.argsort(joined[0], kind="stable")
                     table, known = [c[order] for c in joined], []
-                out = []
+                out, told = [], []
                 for keys in rows.column(2):
                     asked = unpack(keys.as_py())
                     at = np.searchsorted(table[0], asked)
                     known_here = at < len(table[0])
                     known_here[known_here] = table[0][at[known_here]] == asked[known_here]
+                    if known_only:
+                        told.append(pack(asked[known_here]))
+                        out.append(np.concatenate([c[at[known_here]] for c in table[1:]]).astype(np.float64).tobytes())
+                        continue
                     found = np.zeros((width, len(asked)))
                     found[:, known_here] = [c[at[known_here]] for c in table[1:]]
                     out.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(1), pa.array(np.full(hi - lo, current, np.int32)), rows.column(2), pa.array(out, pa.binary())], ["block", "part", "keys", "answer"]
-                )
+                keys = pa.array(told, pa.binary()) if known_only else rows.column(2)
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(hi - lo, current, np.int32)), keys, pa.array(out, pa.binary())], ["block", "part", "keys", "answer"])
 
     return run
 
 
-def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions: int) -> DataFrame:
+def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions: int, known_only: bool = False) -> DataFrame:
     """Rows (block, part, keys, answer): the values of each block's keys, as doubles, column after column.
 
-    ``values`` has a row for each known key: part, key, and the columns. Other keys get zeros.
+    ``values`` has a row for each known key: part, key, and the columns. Other
+    keys get zeros, or with ``known_only`` are left out.
     """
     known = values.select(
         (F.col("part") * F.lit(2)).alias("place"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "key",
@@ -158,7 +162,7 @@ def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions
         *[F.lit(None).cast("double").alias(c) for c in columns],
     )
     both = known.unionByName(asked).repartition(partitions, F.floor(F.col("place") / 2)).sortWithinPartitions("place")
-    return both.mapInArrow(_answers(len(columns)), "block long, part int, keys binary, answer binary")
+    return both.mapInArrow(_answers(len(columns), known_only), "block long, part int, keys binary, answer binary")
 
 
 def answered(rows: list[tuple[bytes, bytes]], width: int) -> list[np.ndarray]:

@@ -131,7 +131,7 @@ _SHARDS_ARROW = pa.schema([*_PACKED, ("langs", pa.list_(pa.struct([("lang", pa.i
 _REDUCED_ARROW = pa.schema(_PACKED)
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], pa.RecordBatch, int]]:
+def _told(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray], pa.RecordBatch, int]]:
     """Each shard of (place, keys, answer, shard, ...) with the answers its block got before it."""
     current, told = None, []
     for batch in batches:
@@ -141,7 +141,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndar
             if block != current:
                 current, told = block, []
             if is_shard:
-                answers, told = blocks.answered(told, 1), []
+                answers, told = blocks.answered(told, width), []
                 yield block, answers, batch, i
             else:
                 told.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
@@ -151,50 +151,45 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return words.mixed(a * _PAIR + b)
 
 
-def _reduced(parts: int, least: int):
-    """Shards with the counts of their words to shards of frequent words, and packed counts of pairs of these."""
+def _reduced(parts: int, frequent: int):
+    """Shards with the counts and numbers of their frequent words to shards of these only, and packed counts of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (_, count), batch, i in _told(batches):
+        for block, (known, count, number), batch, i in _told(batches, 2):
             shard = [x.as_py() for x in batch.column(3)[i].values]
             keys = blocks.unpack(shard[0]).view(np.uint64)
-            count, langs = _reordered(keys, count), blocks.unpack(shard[1], False)
-            kept = count >= least
-            number = np.append(0, np.where(kept, np.cumsum(kept), 0))
-            sequence = number[blocks.unpack(shard[3], False)]
+            kept = np.isin(keys, known.view(np.uint64))
+            some, langs = keys[kept], blocks.unpack(shard[1], False)[kept]
+            # Answers come in signed order, words in unsigned order.
+            at = np.searchsorted(known, some.view(np.int64))
+            count, number = count[at].astype(np.int64), number[at].astype(np.int64)
+            place = np.append(0, np.where(kept, np.cumsum(kept), 0))
+            sequence = place[blocks.unpack(shard[3], False)]
             spelled = b" ".join(automata.spelled(keys, shard[2])[kept].tolist())
             # Runs of zeros part the sequence as one zero does.
             sequence = sequence[np.append(sequence[:-1] | sequence[1:], 1) > 0] if len(sequence) else sequence
             at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
-            some = keys[kept]
-            pairs, often = np.unique(sequence[at] << 32 | sequence[at + 1], return_counts=True)
-            found = pair_keys(some[(pairs >> 32) - 1], some[(pairs & 0xFFFFFFFF) - 1])
-            small = [blocks.pack(some.view(np.int64)), blocks.pack(count[kept], False), blocks.pack(langs[kept], False), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(sequence, False)]
+            pairs, often = np.unique(number[sequence[at] - 1] * frequent + number[sequence[at + 1] - 1], return_counts=True)
+            small = [blocks.pack(some.view(np.int64)), blocks.pack(count, False), blocks.pack(langs, False), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(sequence, False), blocks.pack(number, False)]
             yield pa.RecordBatch.from_pylist([{"block": block, "shard": small}], _REDUCED_ARROW)
-            for part, packed, counts in blocks.by_part(*blocks.summed(found.view(np.int64), often), parts):
+            for part, packed, counts in blocks.by_part(pairs, often, parts):
                 yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "keys": packed, "counts": counts}], _REDUCED_ARROW)
 
     return run
 
 
-def _reordered(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Values given in signed order of unsigned sorted keys, in the order of the keys."""
-    out = np.empty(len(keys), np.int64)
-    out[np.argsort(keys.view(np.int64), kind="stable")] = values
-    return out
+def windows(sequence: np.ndarray, keys: np.ndarray, codes: np.ndarray, frequent: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per position that begins a frequent pair: its key, its label places, and the places of the words behind while pairs are frequent.
 
-
-def windows(sequence: np.ndarray, keys: np.ndarray, frequent: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per position that begins a frequent pair: its key, its label places, and the places of the words behind while pairs are frequent."""
+    ``codes`` has the pair numbers of the positions where two words of the sequence meet.
+    """
     n = len(sequence)
     both = np.zeros(n, dtype=bool)
     at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
+    at = at[np.isin(codes, frequent)]
+    both[at] = True
     pair = np.zeros(n, np.uint64)
     pair[at] = pair_keys(keys[sequence[at] - 1], keys[sequence[at + 1] - 1])
-    slot = np.searchsorted(frequent, pair[at])
-    hit = slot < len(frequent)
-    hit[hit] = frequent[slot[hit]] == pair[at][hit]
-    both[at[hit]] = True
     begin = np.flatnonzero(both)
     rest = np.full((len(begin), longest - 2), -1, np.int64)
     goes = np.ones(len(begin), dtype=bool)
@@ -205,16 +200,18 @@ def windows(sequence: np.ndarray, keys: np.ndarray, frequent: np.ndarray, longes
     return pair[begin], np.column_stack([sequence[begin] - 1, sequence[begin + 1] - 1]), rest
 
 
-def _transducers(ranges: int, least: int, longest: int):
-    """Reduced shards with the counts of their pairs to cuts of their automata."""
+def _transducers(ranges: int, frequent: int, longest: int):
+    """Reduced shards with their frequent pairs to cuts of their automata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (pairs, count), batch, i in _told(batches):
+        for _, (pairs, _), batch, i in _told(batches, 1):
             shard = [x.as_py() for x in batch.column(3)[i].values]
             keys = blocks.unpack(shard[0]).view(np.uint64)
             labels = Labels(keys, blocks.unpack(shard[1], False), blocks.unpack(shard[2], False), automata.spelled(keys, shard[3]))
-            frequent = np.sort(pairs[count >= least].view(np.uint64))
-            built = automata.build(labels, *windows(blocks.unpack(shard[4], False), keys, frequent, longest))
+            sequence, number = blocks.unpack(shard[4], False), blocks.unpack(shard[5], False)
+            at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
+            codes = number[sequence[at] - 1] * frequent + number[sequence[at + 1] - 1]
+            built = automata.build(labels, *windows(sequence, keys, codes, pairs, longest))
             for r, part in automata.cut(built, ranges):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([automata.dump(part)], pa.list_(pa.binary()))], ["range", "automaton"])
 
@@ -345,14 +342,15 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
         shards = materialize(rows.mapInArrow(_shards(parts), SHARDS), "shards")
     asked, sequences = shards.where(F.col("part").isNotNull()), shards.where(F.col("part").isNull())
     frequent = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-words")
-    told = blocks.answers(asked, frequent, ["n"], parts)
+    numbered, n_frequent = _numbered(frequent)
+    told = blocks.answers(asked, numbered, ["n", "number"], parts, known_only=True)
     with arrow_rows(spark, BATCH):
-        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts, least), REDUCED), "reduced")
+        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts, n_frequent), REDUCED), "reduced")
     asked, sequences = reduced.where(F.col("part").isNotNull()), reduced.where(F.col("part").isNull())
     pairs = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-pairs")
-    told = blocks.answers(asked, pairs, ["n"], parts)
+    told = blocks.answers(asked, pairs, ["n"], parts, known_only=True)
     with arrow_rows(spark, BATCH):
-        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, least, longest), "range int, automaton array<binary>")
+        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, n_frequent, longest), "range int, automaton array<binary>")
         found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
     tails = found.where(F.size("words") > 2).select("id", "words", "weights").mapInArrow(_tails(parts, longest), "range int, id long, cut int, tail array<long>, n long")
     known = found.select((F.col("range") * 2).alias("place"), "id", "words", F.lit(0).alias("cut"), F.element_at("weights", -1).alias("n"))
@@ -369,6 +367,20 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     )
 
 
+def _numbered(frequent: DataFrame) -> tuple[DataFrame, int]:
+    """Frequent words with numbers from 0, and how many there are: numbers of pairs are small and pack well.
+
+    The window without keys runs over one row per part.
+    """
+    sizes = frequent.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"), "size")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    numbered = frequent.withColumn("inside", inside).join(offsets.select("part", "before"), "part")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return materialize(numbered.select("part", "key", "n", (F.col("before") + F.col("inside")).alias("number")), "numbered"), total
+
+
 def _meet(told: DataFrame, shards: DataFrame, parts: int) -> DataFrame:
     both = told.select((F.col("block") * 2).alias("place"), "keys", "answer").unionByName(
         shards.withColumn("block", F.col("block") * 2 + 1).withColumnRenamed("block", "place"), allowMissingColumns=True
