@@ -26,11 +26,15 @@ COMPACT = 1 << 21
 TOTALS = "part int, key long, n long"
 
 
-def pack(values: np.ndarray, ordered: bool = True) -> bytes:
-    """Integers, or their differences if they are ordered, as compressed byte planes."""
+_FAR = zstandard.ZstdCompressionParameters.from_level(1, window_log=23, enable_ldm=True)
+
+
+def pack(values: np.ndarray, ordered: bool = True, far: bool = False) -> bytes:
+    """Integers, or their differences if they are ordered, as compressed byte planes; ``far`` looks for repeats far back."""
     v = np.ascontiguousarray(values, dtype=np.int64)
     planes = (np.diff(v, prepend=np.int64(0)) if ordered else v).view(np.uint8).reshape(len(v), 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    press = zstandard.ZstdCompressor(compression_params=_FAR) if far else zstandard.ZstdCompressor(level=1)
+    return press.compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, ordered: bool = True) -> np.ndarray:
@@ -109,7 +113,7 @@ def totals(packed: DataFrame, partitions: int) -> DataFrame:
     return rows.mapInArrow(_totals, TOTALS)
 
 
-def _answers(width: int, known_only: bool):
+def _answers(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[list[np.ndarray]] = []
         table: list[np.ndarray] | None = None
@@ -128,30 +132,24 @@ def _answers(width: int, known_only: bool):
                     joined = [np.concatenate([k[i] for k in known]) if known else np.zeros(0) for i in range(width + 1)]
                     order = np.argsort(joined[0], kind="stable")
                     table, known = [c[order] for c in joined], []
-                out, told = [], []
+                out = []
                 for keys in rows.column(2):
                     asked = unpack(keys.as_py())
                     at = np.searchsorted(table[0], asked)
                     known_here = at < len(table[0])
                     known_here[known_here] = table[0][at[known_here]] == asked[known_here]
-                    if known_only:
-                        told.append(pack(asked[known_here]))
-                        out.append(np.concatenate([c[at[known_here]] for c in table[1:]]).astype(np.float64).tobytes())
-                        continue
                     found = np.zeros((width, len(asked)))
                     found[:, known_here] = [c[at[known_here]] for c in table[1:]]
                     out.append(found.tobytes())
-                keys = pa.array(told, pa.binary()) if known_only else rows.column(2)
-                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(hi - lo, current, np.int32)), keys, pa.array(out, pa.binary())], ["block", "part", "keys", "answer"])
+                yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(hi - lo, current, np.int32)), rows.column(2), pa.array(out, pa.binary())], ["block", "part", "keys", "answer"])
 
     return run
 
 
-def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions: int, known_only: bool = False) -> DataFrame:
+def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions: int) -> DataFrame:
     """Rows (block, part, keys, answer): the values of each block's keys, as doubles, column after column.
 
-    ``values`` has a row for each known key: part, key, and the columns. Other
-    keys get zeros, or with ``known_only`` are left out.
+    ``values`` has a row for each known key: part, key, and the columns. Other keys get zeros.
     """
     known = values.select(
         (F.col("part") * F.lit(2)).alias("place"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("keys"), "key",
@@ -162,7 +160,48 @@ def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions
         *[F.lit(None).cast("double").alias(c) for c in columns],
     )
     both = known.unionByName(asked).repartition(partitions, F.floor(F.col("place") / 2)).sortWithinPartitions("place")
-    return both.mapInArrow(_answers(len(columns), known_only), "block long, part int, keys binary, answer binary")
+    return both.mapInArrow(_answers(len(columns)), "block long, part int, keys binary, answer binary")
+
+
+def _frequent(least: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, counter = None, [], Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            keys, n = counter.total()
+            keys, n = keys[n >= least], n[n >= least]
+            for block, packed in rows:
+                asked = unpack(packed)
+                here = np.flatnonzero(np.isin(keys, asked))
+                if len(here):
+                    answer = np.concatenate([n[here], here * parts + current]).astype(np.float64).tobytes()
+                    yield pa.RecordBatch.from_pylist([{"block": block, "part": current, "keys": pack(keys[here]), "answer": answer}], _ANSWER)
+
+        for batch in batches:
+            for part, block, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if part != current:
+                    if current is not None:
+                        yield from done()
+                    current, rows, counter = part, [], Counter()
+                rows.append((block, keys.as_py()))
+                counter.add(unpack(rows[-1][1]), unpack(counts.as_py()))
+        if current is not None:
+            yield from done()
+
+    return run
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("answer", pa.binary())])
+
+
+def frequent(packed: DataFrame, parts: int, least: int) -> DataFrame:
+    """Rows (block, part, keys, answer): of each block's keys those that reach ``least`` over all blocks, with count and number.
+
+    Numbers are unique and dense up to the unevenness of the parts. One shuffle:
+    a part's task keeps its packed rows until the part is counted.
+    """
+    rows = packed.select("part", "block", "keys", "counts").repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(_frequent(least, parts), "block long, part int, keys binary, answer binary")
 
 
 def answered(rows: list[tuple[bytes, bytes]], width: int) -> list[np.ndarray]:

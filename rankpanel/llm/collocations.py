@@ -57,6 +57,19 @@ def lang_key(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def pack_sequence(sequence: np.ndarray, distinct: int) -> list[bytes]:
+    """A sequence of word places, as ranks by frequency, which pack well, and the places by rank."""
+    often = np.bincount(sequence, minlength=distinct + 1)
+    by_rank = np.argsort(-often, kind="stable")
+    rank = np.empty(len(by_rank), np.int64)
+    rank[by_rank] = np.arange(len(by_rank))
+    return [blocks.pack(rank[sequence], False, True), blocks.pack(by_rank, False)]
+
+
+def unpack_sequence(ranks: bytes, by_rank: bytes) -> np.ndarray:
+    return blocks.unpack(by_rank, False)[blocks.unpack(ranks, False)]
+
+
 class _Shard:
     """The word sequence of a shard, gathered text unit by text unit."""
 
@@ -97,7 +110,7 @@ class _Shard:
         spelled = zstandard.ZstdCompressor(level=3).compress(b" ".join(found[2][at].tolist()))
         # Zero before each piece; words count from 1.
         sequence = np.insert(which + 1, np.flatnonzero(new), 0)
-        shard = [blocks.pack(distinct.view(np.int64)), blocks.pack(found[1][at], False), spelled, blocks.pack(sequence, False)]
+        shard = [blocks.pack(distinct.view(np.int64)), blocks.pack(found[1][at], False), spelled, *pack_sequence(sequence, len(distinct))]
         langs = [{"lang": lang_key(k), "name": k, "words": n} for k, n in self.langs.items()]
         yield {"block": number, "shard": shard, "langs": langs}
         for part, keys, counts in blocks.by_part(*blocks.summed(distinct.view(np.int64), often), parts):
@@ -151,7 +164,7 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return words.mixed(a * _PAIR + b)
 
 
-def _reduced(parts: int, frequent: int):
+def _reduced(parts: int):
     """Shards with the counts and numbers of their frequent words to shards of these only, and packed counts of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +177,13 @@ def _reduced(parts: int, frequent: int):
             at = np.searchsorted(known, some.view(np.int64))
             count, number = count[at].astype(np.int64), number[at].astype(np.int64)
             place = np.append(0, np.where(kept, np.cumsum(kept), 0))
-            sequence = place[blocks.unpack(shard[3], False)]
+            sequence = place[unpack_sequence(*shard[3:5])]
             spelled = b" ".join(automata.spelled(keys, shard[2])[kept].tolist())
             # Runs of zeros part the sequence as one zero does.
             sequence = sequence[np.append(sequence[:-1] | sequence[1:], 1) > 0] if len(sequence) else sequence
             at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
-            pairs, often = np.unique(number[sequence[at] - 1] * frequent + number[sequence[at + 1] - 1], return_counts=True)
-            small = [blocks.pack(some.view(np.int64)), blocks.pack(count, False), blocks.pack(langs, False), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(sequence, False), blocks.pack(number, False)]
+            pairs, often = np.unique(pair_codes(number, sequence, at), return_counts=True)
+            small = [blocks.pack(some.view(np.int64)), blocks.pack(count, False), blocks.pack(langs, False), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(number, False), *pack_sequence(sequence, len(some))]
             yield pa.RecordBatch.from_pylist([{"block": block, "shard": small}], _REDUCED_ARROW)
             for part, packed, counts in blocks.by_part(pairs, often, parts):
                 yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "keys": packed, "counts": counts}], _REDUCED_ARROW)
@@ -178,6 +191,11 @@ def _reduced(parts: int, frequent: int):
     return run
 
 
+def pair_codes(number: np.ndarray, sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One integer for the words at the given places and behind them."""
+    return (number[sequence[at] - 1] << 32) | number[sequence[at + 1] - 1]
+
+
 def windows(sequence: np.ndarray, keys: np.ndarray, codes: np.ndarray, frequent: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per position that begins a frequent pair: its key, its label places, and the places of the words behind while pairs are frequent.
 
@@ -200,18 +218,17 @@ def windows(sequence: np.ndarray, keys: np.ndarray, codes: np.ndarray, frequent:
     return pair[begin], np.column_stack([sequence[begin] - 1, sequence[begin + 1] - 1]), rest
 
 
-def _transducers(ranges: int, frequent: int, longest: int):
+def _transducers(ranges: int, longest: int):
     """Reduced shards with their frequent pairs to cuts of their automata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (pairs, _), batch, i in _told(batches, 1):
+        for _, (pairs, _, _), batch, i in _told(batches, 2):
             shard = [x.as_py() for x in batch.column(3)[i].values]
             keys = blocks.unpack(shard[0]).view(np.uint64)
             labels = Labels(keys, blocks.unpack(shard[1], False), blocks.unpack(shard[2], False), automata.spelled(keys, shard[3]))
-            sequence, number = blocks.unpack(shard[4], False), blocks.unpack(shard[5], False)
+            number, sequence = blocks.unpack(shard[4], False), unpack_sequence(*shard[5:7])
             at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
-            codes = number[sequence[at] - 1] * frequent + number[sequence[at + 1] - 1]
-            built = automata.build(labels, *windows(sequence, keys, codes, pairs, longest))
+            built = automata.build(labels, *windows(sequence, keys, pair_codes(number, sequence, at), pairs, longest))
             for r, part in automata.cut(built, ranges):
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([automata.dump(part)], pa.list_(pa.binary()))], ["range", "automaton"])
 
@@ -341,16 +358,13 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     with arrow_rows(spark, ROWS):
         shards = materialize(rows.mapInArrow(_shards(parts), SHARDS), "shards")
     asked, sequences = shards.where(F.col("part").isNotNull()), shards.where(F.col("part").isNull())
-    frequent = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-words")
-    numbered, n_frequent = _numbered(frequent)
-    told = blocks.answers(asked, numbered, ["n", "number"], parts, known_only=True)
+    told = blocks.frequent(asked, parts, least)
     with arrow_rows(spark, BATCH):
-        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts, n_frequent), REDUCED), "reduced")
+        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts), REDUCED), "reduced")
     asked, sequences = reduced.where(F.col("part").isNotNull()), reduced.where(F.col("part").isNull())
-    pairs = materialize(blocks.totals(asked, parts).where(F.col("n") >= least), "frequent-pairs")
-    told = blocks.answers(asked, pairs, ["n"], parts, known_only=True)
+    told = blocks.frequent(asked, parts, least)
     with arrow_rows(spark, BATCH):
-        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, n_frequent, longest), "range int, automaton array<binary>")
+        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, longest), "range int, automaton array<binary>")
         found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
     tails = found.where(F.size("words") > 2).select("id", "words", "weights").mapInArrow(_tails(parts, longest), "range int, id long, cut int, tail array<long>, n long")
     known = found.select((F.col("range") * 2).alias("place"), "id", "words", F.lit(0).alias("cut"), F.element_at("weights", -1).alias("n"))
@@ -367,20 +381,6 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     )
 
 
-def _numbered(frequent: DataFrame) -> tuple[DataFrame, int]:
-    """Frequent words with numbers from 0, and how many there are: numbers of pairs are small and pack well.
-
-    The window without keys runs over one row per part.
-    """
-    sizes = frequent.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"), "size")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
-    numbered = frequent.withColumn("inside", inside).join(offsets.select("part", "before"), "part")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    return materialize(numbered.select("part", "key", "n", (F.col("before") + F.col("inside")).alias("number")), "numbered"), total
-
-
 def _meet(told: DataFrame, shards: DataFrame, parts: int) -> DataFrame:
     both = told.select((F.col("block") * 2).alias("place"), "keys", "answer").unionByName(
         shards.withColumn("block", F.col("block") * 2 + 1).withColumnRenamed("block", "place"), allowMissingColumns=True
