@@ -63,18 +63,31 @@ def s2_newest(spark, sf):
     )
 
 
-@query(
-    "s3_online_form",
-    with_results(
-        """SELECT Driver, CAST(Year * 100 + Race_Num AS BIGINT) AS seq, round(avg(Position) OVER (PARTITION BY Driver ORDER BY Year, Race_Num ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS form FROM results"""
-    ),
+FORM = with_results(
+    """SELECT Driver, CAST(Year * 100 + Race_Num AS BIGINT) AS seq, round(avg(Position) OVER (PARTITION BY Driver ORDER BY Year, Race_Num ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS form FROM results"""
 )
-def s3(spark, sf):
-    """Seasons arrive out of order and split over files, so every batch corrects earlier ones."""
-    landing, out, history, check = (scratch_path(spark, x) for x in ("landing", "form", "history", "stream"))
+
+
+def _form_stream(spark, sf):
+    """Results in three files, none of them in order."""
+    landing = scratch_path(spark, "landing")
     rows = results(spark, sf).select("Driver", (F.col("Year") * 100 + F.col("Race_Num")).cast("long").alias("seq"), "Position")
     for part in (2, 0, 1):
         rows.where(F.col("seq") % 3 == part).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema("Driver long, seq long, Position double").option("maxFilesPerTrigger", 1).parquet(landing)
-    ingest.online_form(stream, out, history, check)
+    return spark.readStream.schema("Driver long, seq long, Position double").option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+@query("s3_online_form", FORM)
+def s3(spark, sf):
+    """Seasons arrive out of order and split over files, so every batch corrects earlier ones."""
+    out, history, check = (scratch_path(spark, x) for x in ("form", "history", "stream"))
+    ingest.online_form(_form_stream(spark, sf), out, history, check)
     return rounded(ingest.current_form(spark, out))
+
+
+@query("s3_keyed_state", FORM)
+def s3_keyed(spark, sf):
+    """The same results and files, with the form held in keyed state."""
+    out, check = (scratch_path(spark, x) for x in ("form", "stream"))
+    ingest.keyed_form(_form_stream(spark, sf), out, check)
+    return rounded(ingest.current_keyed_form(spark, out))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rankpanel.functions.columns import contains_flag, digest_number, row_digest, utc_naive
 from rankpanel.session import materialize
@@ -45,11 +47,36 @@ def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order: Se
     return kept.unionByName(unique_rows(batch, keys), allowMissingColumns=True)
 
 
+#: Folder inside a table for what the upsert knows about it; Spark's readers pass it over.
+META = "_rankpanel"
+#: Folders of the key map; a batch reads and rewrites those its keys fall into.
+MAP_BUCKETS = 64
+
+
+def table_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema kept beside a table, from one small file; None for tables the upsert has not written yet."""
+    try:
+        row = spark.read.text(f"{path}/{META}/schema", wholetext=True).first()
+    except AnalysisException:
+        return None
+    return StructType.fromJson(json.loads(row[0])) if row and row[0].strip() else None
+
+
+def save_schema(spark: SparkSession, path: str, schema: StructType) -> None:
+    plain = StructType([StructField(f.name, f.dataType) for f in schema.fields])
+    spark.createDataFrame([(plain.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}/{META}/schema")
+
+
 def stored_table(path: str, like: DataFrame) -> DataFrame:
-    """A stored table with all columns any of its files has, typed as in ``like`` where that has them."""
+    """A stored table with all columns any of its files has, typed as in ``like`` where that has them.
+
+    With a kept schema no file is opened to plan the read; without one the
+    schemas of all files are merged.
+    """
     spark = like.sparkSession
+    known = table_schema(spark, path)
     try:
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
+        stored = spark.read.schema(known).parquet(path) if known else spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException:  # no file yet
         return spark.read.schema(like.schema).parquet(path).select(like.columns)
     types = dict(like.dtypes)
@@ -57,30 +84,57 @@ def stored_table(path: str, like: DataFrame) -> DataFrame:
     return stored.select(*found, *[F.lit(None).cast(t).alias(c) for c, t in like.dtypes if c not in stored.columns])
 
 
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BUCKETS)).cast("int").alias("bucket")
+
+
+def _key_map(path: str, existing: DataFrame, keys: Sequence[str], partition: str, buckets: Sequence[int]) -> DataFrame:
+    """(keys, bucket, at): the partition each stored key is in, for the given buckets; made from the table the first time."""
+    spark = existing.sparkSession
+    where = f"{path}/{META}/keys"
+    shape = StructType([*[StructField(k, existing.schema[k].dataType) for k in keys], StructField("at", existing.schema[partition].dataType), StructField("bucket", IntegerType())])
+    try:
+        found = spark.read.schema(shape).parquet(where)
+    except AnalysisException:
+        rows = existing.select(*keys, F.col(partition).alias("at"), _bucket(keys))
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(where)
+        found = spark.read.schema(shape).parquet(where)
+    return found.where(F.col("bucket").isin(list(buckets)))
+
+
 def upsert_table(
     path: str, batch: DataFrame, keys: Sequence[str], partition: str = "Year", stored: bool = False, order: Sequence[str] = ()
 ) -> None:
-    """Upsert into a partitioned table; only partitions the batch touches are rewritten.
+    """Upsert into a partitioned table; only partitions the batch touches are read and rewritten.
 
     The merged rows are written aside first, so a lost executor never reads a
     partition that is being replaced. ``stored`` says that the batch is a
-    written table already. Stored columns that the batch lacks stay. If the
-    partition is no part of the key, partitions that hold a key of the batch
-    are touched too, so a row can move. The rebalance hint gives files of even
-    size and splits a large partition over tasks.
+    written table already. Stored columns that the batch lacks stay, and columns
+    keep their stored types. If the partition is no part of the key, a row can
+    move: a map from keys to partitions, kept beside the table and cut into
+    buckets, tells which partitions may hold a key of the batch, so the others
+    are neither listed nor scanned. Schema and map are written after the data; a
+    missing one is made anew from the table. The rebalance hint gives files of
+    even size and splits a large partition over tasks.
     """
     batch = batch if stored else materialize(batch, "batch")
     if batch.isEmpty():
         return
+    spark = batch.sparkSession
+    known = table_schema(spark, path)
     existing = stored_table(path, batch)
     # one value per table folder: this list prunes the scan to the touched partitions
     values = [r[0] for r in batch.select(partition).distinct().collect()]
-    if partition not in keys:
-        moved = existing.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(partition).distinct()
+    moving = partition not in keys
+    if moving:
+        buckets = [r[0] for r in batch.select(_bucket(keys)).distinct().collect()]  # MAP_BUCKETS at most
+        key_map = _key_map(path, existing, keys, partition, buckets)
+        moved = key_map.join(batch.select(*keys).distinct(), list(keys), "left_semi").select("at").distinct()
         values = sorted({*values, *[r[0] for r in moved.collect()]}, key=str)
     touched = existing.where(F.col(partition).isin(values))
     merged = upsert(touched, batch, keys, order)
-    merged = materialize(merged, "merged")
+    types = {f.name: f.dataType for f in known.fields} if known else {}
+    merged = materialize(merged.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in merged.columns]), "merged")
     (
         merged.hint("rebalance", partition)
         .write.mode("overwrite")
@@ -88,9 +142,16 @@ def upsert_table(
         .partitionBy(partition)
         .parquet(path)
     )
-    if partition not in keys:
+    wanted = StructType([*(known.fields if known else []), *[f for f in merged.schema.fields if f.name not in types]])
+    if known is None or len(wanted) != len(known):
+        save_schema(spark, path, wanted)
+    if moving:
         left = {r[0] for r in merged.select(partition).distinct().collect()}
-        _drop_partitions(batch.sparkSession, path, partition, [v for v in values if v not in left])
+        _drop_partitions(spark, path, partition, [v for v in values if v not in left])
+        now = merged.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(*keys, F.col(partition).alias("at"), _bucket(keys))
+        rest = key_map.join(batch.select(*keys).distinct(), list(keys), "left_anti")
+        fresh = materialize(rest.unionByName(now), "key-map")
+        fresh.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{META}/keys")
 
 
 def _drop_partitions(spark, path: str, partition: str, values: Sequence) -> None:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rankpanel.operators import scoring, store
 from rankpanel.operators.timeline import Frame, lagged_frames
@@ -42,8 +45,10 @@ def ingest(stream: DataFrame, table: str, log: str, checkpoint: str, keys: Seque
 
 
 def prepare_table(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> None:
-    """An empty partitioned table to upsert into."""
+    """An empty partitioned table to upsert into, with its schema beside it."""
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)
+    if store.table_schema(spark, path) is None:
+        store.save_schema(spark, path, schema)
 
 
 def refresh_predictions(
@@ -51,23 +56,25 @@ def refresh_predictions(
 ) -> None:
     """As qualifying files arrive, rewrite the events they touch with actual positions.
 
-    Before any file the table holds predicted positions for every event. An
-    event's rows are replaced once per batch that touches it; when all files
-    are in, the stream ends.
+    Before any file the table holds predicted positions for every event. Actual
+    positions are kept in one table, upserted by season, so a batch reads the
+    seasons it touches and none of the batches before it. An event's rows are
+    replaced once per batch that touches it; when all files are in, the stream ends.
     """
     first = scoring.choose_qualifying(roster, "pre_quali", None, predicted)
     store.full_refresh(out, first)
 
+    seen = f"{out}-actual"
+    shape = spark.createDataFrame([], schema).select(*KEY, "Quali_Pos", F.lit(0).cast("long").alias("batch")).schema
+    prepare_table(spark, seen, shape, "Year")
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        seen = f"{out}-actual"
-        batch.select(*KEY, "Quali_Pos").write.mode("overwrite").partitionBy("Year").parquet(f"{seen}/batch={batch_id}")
-        # seasons are few; of earlier batches only the touched seasons are read
-        years = [r["Year"] for r in batch.select("Year").distinct().collect()]
-        everything = spark.read.parquet(seen).where(F.col("Year").isin(years))
-        now = everything.where(F.col("batch") == batch_id).select(*EVENT).distinct()
-        # an event's rows may come in several batches: all of them count, the newest per driver wins
-        so_far = everything.where(F.col("batch") <= batch_id).join(now, EVENT, "left_semi")
-        actual = store.latest_by(so_far, KEY, ["batch"]).drop("batch").select(*KEY, "Quali_Pos")
+        rows = materialize(batch.select(*KEY, "Quali_Pos", F.lit(batch_id).cast("long").alias("batch")), "arrived")
+        # an event's rows may come in several batches: the newest one per driver stays
+        store.upsert_table(seen, store.latest_by(rows, KEY, ["Quali_Pos"]), KEY, order=["batch"])
+        years = [r["Year"] for r in rows.select("Year").distinct().collect()]  # seasons are few
+        now = rows.select(*EVENT).distinct()
+        actual = store.stored_table(seen, rows).where(F.col("Year").isin(years)).join(now, EVENT, "left_semi").select(*KEY, "Quali_Pos")
         touched = roster.join(now, EVENT, "left_semi")
         store.upsert_table(out, scoring.choose_qualifying(touched, "auto", actual, predicted).select(first.columns), KEY)
 
@@ -110,3 +117,119 @@ def online_form(stream: DataFrame, out: str, history: str, checkpoint: str, rows
 def current_form(spark: SparkSession, out: str) -> DataFrame:
     """(Driver, seq, form): the newest version of every row."""
     return store.latest_by(spark.read.parquet(out), ["Driver", "seq"], ["batch"]).drop("batch")
+
+
+#: Rows of one leaf of a driver's kept history.
+LEAF = 64
+
+
+class FormProcessor(StatefulProcessor):
+    """Keyed state of a driver: results in order, in leaves of at most ``LEAF`` rows.
+
+    An arrived result touches its own leaf and as many neighbours as the form
+    window reaches into, so what a batch reads follows its own rows and not the
+    batches before it. Results may come in any order; the newest version of one
+    replaces the older ones.
+    """
+
+    def __init__(self, rows: int):
+        self.rows = rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.leaves = handle.getMapState("leaves", "leaf long", "seqs array<long>, positions array<double>")
+        self.index = handle.getValueState("index", "firsts array<long>, ids array<long>, version long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).drop_duplicates("seq", keep="last").sort_values("seq")
+        known = self.index.get()
+        firsts, ids, version = (list(known[0]), list(known[1]), known[2]) if known else ([], [], 0)
+        held: dict[int, tuple[list[int], list[float | None]]] = {}
+        dirty: set[int] = set()
+
+        def leaf(at: int) -> tuple[list[int], list[float | None]]:
+            if ids[at] not in held:
+                seqs, positions = self.leaves.getValue((ids[at],))
+                held[ids[at]] = (list(seqs), list(positions))
+            return held[ids[at]]
+
+        for seq, position in zip(arrived["seq"].tolist(), arrived["Position"].tolist()):
+            position = None if position != position else position  # NaN is a missing value
+            if not ids:
+                firsts, ids = [seq], [0]
+                held[0] = ([], [])
+            at = max(0, bisect.bisect_right(firsts, seq) - 1)
+            seqs, positions = leaf(at)
+            i = bisect.bisect_left(seqs, seq)
+            if i < len(seqs) and seqs[i] == seq:
+                positions[i] = position
+            else:
+                seqs.insert(i, seq)
+                positions.insert(i, position)
+            dirty.add(ids[at])
+            firsts[at] = seqs[0]
+            if len(seqs) > LEAF:
+                half, fresh = len(seqs) // 2, max(ids) + 1
+                held[fresh] = (seqs[half:], positions[half:])
+                del seqs[half:], positions[half:]
+                firsts.insert(at + 1, held[fresh][0][0])
+                ids.insert(at + 1, fresh)
+                dirty.add(fresh)
+        changed = {}
+        for seq in arrived["seq"].tolist():
+            at = max(0, bisect.bisect_right(firsts, seq) - 1)
+            i = bisect.bisect_left(leaf(at)[0], seq)
+            # The result itself and the ones whose window it is in; before them, the rows their windows reach.
+            before: list[float | None] = []
+            back, j = at, i
+            while len(before) < self.rows and (j > 0 or back > 0):
+                if j == 0:
+                    back -= 1
+                    j = len(leaf(back)[0])
+                    continue
+                j -= 1
+                before.insert(0, leaf(back)[1][j])
+            for _ in range(self.rows + 1):
+                while at < len(ids) and i >= len(leaf(at)[0]):
+                    at, i = at + 1, 0
+                if at >= len(ids):
+                    break
+                values = [x for x in before if x is not None]
+                changed[leaf(at)[0][i]] = sum(values) / len(values) if values else None
+                before = [*before, leaf(at)[1][i]][-self.rows :]
+                i += 1
+        for x in dirty:
+            self.leaves.updateValue((x,), held[x])
+        version += 1
+        self.index.update((firsts, ids, version))
+        out = sorted(changed.items())
+        yield pd.DataFrame({"Driver": [key[0]] * len(out), "seq": [s for s, _ in out], "form": pd.Series([f for _, f in out], dtype="float64"), "version": [version] * len(out)})
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_form(stream: DataFrame, out: str, checkpoint: str, rows: int = 3) -> None:
+    """Like ``online_form``, as keyed state: every batch reads only the leaves its results fall into.
+
+    ``stream`` has (Driver, seq, Position). ``out`` gets the form of every result
+    a batch changes, with a version per driver; ``current_keyed_form`` takes the
+    newest. State and output are both committed by the checkpoint, so a replayed
+    batch changes nothing. Needs protobuf for Python, as Spark's state API does.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        formed = stream.select("Driver", "seq", "Position").groupBy("Driver").transformWithStateInPandas(
+            FormProcessor(rows), "Driver long, seq long, form double, version long", outputMode="Append", timeMode="None"
+        )
+        query = formed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
+def current_keyed_form(spark: SparkSession, out: str) -> DataFrame:
+    """(Driver, seq, form): the newest version of every result."""
+    return store.latest_by(spark.read.parquet(out), ["Driver", "seq"], ["version"]).drop("version")
