@@ -3,6 +3,7 @@
 from rankpanel.catalog import (  # noqa: F401
     evaluation,
     features,
+    fitted,
     history,
     laps,
     learning,
