@@ -30,7 +30,7 @@ HEADLINE = (
     "c15_gap_to_pole",
     "c18_percent_rank_adjustment",
     "c20_driver_season_points",
-    "c21_feature_plan",
+    "c21_whole_plan",
     "c22_preparation",
     "d4_purged_folds",
     "d6_event_zscore",
