@@ -163,7 +163,7 @@ def answers(packed: DataFrame, values: DataFrame, columns: list[str], partitions
     return both.mapInArrow(_answers(len(columns)), "block long, part int, keys binary, answer binary")
 
 
-def _frequent(least: int, parts: int):
+def _frequent(least: int, parts: int, values: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows, counter = None, [], Counter()
 
@@ -174,7 +174,7 @@ def _frequent(least: int, parts: int):
                 asked = unpack(packed)
                 here = np.flatnonzero(np.isin(keys, asked))
                 if len(here):
-                    answer = np.concatenate([n[here], here * parts + current]).astype(np.float64).tobytes()
+                    answer = pack(np.concatenate([n[here], here * parts + current]), False) if values else b""
                     yield pa.RecordBatch.from_pylist([{"block": block, "part": current, "keys": pack(keys[here]), "answer": answer}], _ANSWER)
 
         for batch in batches:
@@ -194,14 +194,26 @@ def _frequent(least: int, parts: int):
 _ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("answer", pa.binary())])
 
 
-def frequent(packed: DataFrame, parts: int, least: int) -> DataFrame:
-    """Rows (block, part, keys, answer): of each block's keys those that reach ``least`` over all blocks, with count and number.
+def frequent(packed: DataFrame, parts: int, least: int, values: bool = True) -> DataFrame:
+    """Rows (block, part, keys, answer): of each block's keys those that reach ``least`` over all blocks, with count and number if asked for.
 
     Numbers are unique and dense up to the unevenness of the parts. One shuffle:
     a part's task keeps its packed rows until the part is counted.
     """
     rows = packed.select("part", "block", "keys", "counts").repartition(parts, "part").sortWithinPartitions("part")
-    return rows.mapInArrow(_frequent(least, parts), "block long, part int, keys binary, answer binary")
+    return rows.mapInArrow(_frequent(least, parts, values), "block long, part int, keys binary, answer binary")
+
+
+def answered_frequent(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent keys of a block in order, their counts and numbers (zeros where none were asked for)."""
+    keys = [unpack(k) for k, _ in rows]
+    values = [unpack(a, False).reshape(2, -1) if a else np.zeros((2, len(k)), np.int64) for (_, a), k in zip(rows, keys)]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = np.concatenate(keys)
+    order = np.argsort(joined, kind="stable")
+    both = np.concatenate(values, axis=1)[:, order]
+    return joined[order], both[0], both[1]
 
 
 def answered(rows: list[tuple[bytes, bytes]], width: int) -> list[np.ndarray]:

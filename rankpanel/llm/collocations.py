@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rankpanel.llm import automata, blocks, words
 from rankpanel.llm.automata import Labels
-from rankpanel.llm.tables import arrow_rows, ship_package
+from rankpanel.llm.tables import arrow_rows, discard, ship_package
 from rankpanel.session import join_small, materialize, shuffle_partitions
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
@@ -144,7 +144,7 @@ _SHARDS_ARROW = pa.schema([*_PACKED, ("langs", pa.list_(pa.struct([("lang", pa.i
 _REDUCED_ARROW = pa.schema(_PACKED)
 
 
-def _told(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray], pa.RecordBatch, int]]:
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], pa.RecordBatch, int]]:
     """Each shard of (place, keys, answer, shard, ...) with the answers its block got before it."""
     current, told = None, []
     for batch in batches:
@@ -154,7 +154,7 @@ def _told(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int,
             if block != current:
                 current, told = block, []
             if is_shard:
-                answers, told = blocks.answered(told, width), []
+                answers, told = blocks.answered_frequent(told), []
                 yield block, answers, batch, i
             else:
                 told.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
@@ -168,14 +168,14 @@ def _reduced(parts: int):
     """Shards with the counts and numbers of their frequent words to shards of these only, and packed counts of their pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (known, count, number), batch, i in _told(batches, 2):
+        for block, (known, count, number), batch, i in _told(batches):
             shard = [x.as_py() for x in batch.column(3)[i].values]
             keys = blocks.unpack(shard[0]).view(np.uint64)
             kept = np.isin(keys, known.view(np.uint64))
             some, langs = keys[kept], blocks.unpack(shard[1], False)[kept]
             # Answers come in signed order, words in unsigned order.
             at = np.searchsorted(known, some.view(np.int64))
-            count, number = count[at].astype(np.int64), number[at].astype(np.int64)
+            count, number = count[at], number[at]
             place = np.append(0, np.where(kept, np.cumsum(kept), 0))
             sequence = place[unpack_sequence(*shard[3:5])]
             spelled = b" ".join(automata.spelled(keys, shard[2])[kept].tolist())
@@ -222,7 +222,7 @@ def _transducers(ranges: int, longest: int):
     """Reduced shards with their frequent pairs to cuts of their automata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (pairs, _, _), batch, i in _told(batches, 2):
+        for _, (pairs, _, _), batch, i in _told(batches):
             shard = [x.as_py() for x in batch.column(3)[i].values]
             keys = blocks.unpack(shard[0]).view(np.uint64)
             labels = Labels(keys, blocks.unpack(shard[1], False), blocks.unpack(shard[2], False), automata.spelled(keys, shard[3]))
@@ -361,8 +361,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     told = blocks.frequent(asked, parts, least)
     with arrow_rows(spark, BATCH):
         reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts), REDUCED), "reduced")
+    langs = materialize(_languages(shards), "languages")
+    discard(shards)
     asked, sequences = reduced.where(F.col("part").isNotNull()), reduced.where(F.col("part").isNull())
-    told = blocks.frequent(asked, parts, least)
+    told = blocks.frequent(asked, parts, least, values=False)
     with arrow_rows(spark, BATCH):
         cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, longest), "range int, automaton array<binary>")
         found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
@@ -374,7 +376,7 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     per = answers.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("cut") > 0, F.struct("cut", "n")))).alias("tails"), (F.min("cut") == 0).alias("inside")
     )
-    scored = join_small(found.join(per, "id", "left"), _languages(shards), ["lang"], "langs", "inner")
+    scored = join_small(found.join(per, "id", "left"), langs, ["lang"], "langs", "inner")
     return scored.select("name", "phrase", _best_cut().alias("best"), "total", (F.col("contained") | F.coalesce("inside", F.lit(False))).alias("contained")).select(
         F.col("name").alias("lang"), "phrase", F.col("best.a").alias("a"), F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("total").alias("n"),
         F.col("best.score").alias("score"), F.col("best.cut").alias("cut"), "contained",

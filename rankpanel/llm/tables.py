@@ -46,6 +46,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete a written scratch table that what comes next, itself written, no longer needs."""
+    spark = written.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles() if "/rankpanel-" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
