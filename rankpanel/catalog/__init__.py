@@ -8,6 +8,7 @@ from rankpanel.catalog import (  # noqa: F401
     laps,
     learning,
     scoring,
+    snapshots,
     sources,
     splits,
     streams,
