@@ -21,12 +21,12 @@ def test_quali_seconds_prefer_the_last_session(spark):
     assert rows["B"]["Quali_Gap_To_Pole"] == 3.0 and rows["B"]["Quali_Gap_Pct"] == pytest.approx(3 / 90)
 
 
-def test_season_points_exclude_the_current_event(spark):
-    pts = {"VER": (25, 25, 18, 25, 25), "HAM": (18, 18, 25, 18, 18)}
-    rows = [(2024, i + 1, d, d, float(p)) for d, ps in pts.items() for i, p in enumerate(ps)]
-    df = spark.createDataFrame(rows, "Year int, Race_Num int, Driver string, Team string, Points double")
-    got = ft.driver_history(df, ft.championship_lags("Driver")).where("Driver = 'VER'").orderBy("Race_Num")
-    assert [r["Driver_Season_Points"] for r in got.collect()] == [0, 25, 50, 68, 93]
+def test_season_points_start_anew_and_lag_by_one_event(spark):
+    earned = {(2030, 1): 3.5, (2030, 2): 0.0, (2030, 4): 7.0, (2031, 1): 2.0, (2031, 3): 1.0}
+    rows = [(y, n, "north", 40, p) for (y, n), p in earned.items()] + [(2030, 3, "south", 40, 100.0)]
+    df = spark.createDataFrame(rows, "Year int, Race_Num int, Driver string, Team int, Points double")
+    got = {(r["Year"], r["Race_Num"]): r["Driver_Season_Points"] for r in ft.driver_history(df, ft.championship_lags("Driver")).where("Driver = 'north'").collect()}
+    assert got == {k: sum(p for (y, n), p in earned.items() if y == k[0] and n < k[1]) for k in earned}
 
 
 def test_points_after_a_missing_value_follow_the_lag_rule(spark):
