@@ -108,6 +108,28 @@ def test_race_has_the_winner_of_scoring_all(scores, metric):
     assert all(sum(v) == pytest.approx(1) and min(v) >= 0 for v in vectors) and len(set(vectors)) == 64
 
 
+@pytest.mark.parametrize("metric", ["spearman", "ndcg"])
+def test_race_is_the_same_by_tasks_and_by_rows_times_candidates(spark, scores, metric, monkeypatch):
+    monkeypatch.setattr(racing, "CHUNK", 5)
+    vectors = racing.candidates(3, 8, seed=5)  # three chunks
+    tied = scores.withColumns({c: F.round(c) for c in "abc"})  # equal blends, and an event without variance
+    tied = tied.withColumns({c: F.when((F.col("Year") == 2000) & (F.col("Race_Num") == 3), F.lit(2.0)).otherwise(F.col(c)) for c in "abc"})
+    tasks = {r["candidate"]: r["score"] for r in racing.race(tied, "y", ["a", "b", "c"], metric, vectors, blocks=1)[0].collect()}
+    spark.conf.set("spark.rankpanel.maxGroupRows", "9")
+    try:
+        rows = {r["candidate"]: r["score"] for r in racing.race(tied, "y", ["a", "b", "c"], metric, vectors, blocks=1)[0].collect()}
+    finally:
+        spark.conf.unset("spark.rankpanel.maxGroupRows")
+    assert len(rows) > 0 and tasks == pytest.approx(rows, abs=2e-9)
+
+
+def test_race_does_not_shuffle_rows_times_candidates(spark, scores):
+    vectors = racing.candidates(3, 252, seed=5)
+    plan = racing.event_scores(scores, "y", ["a", "b", "c"], "ndcg", vectors, range(len(vectors)), 24)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == text.count("rangepartitioning") == 1 and "candidate" not in text.split("Exchange")[1]
+
+
 def test_medians_of_columns_and_groups(spark):
     rng = random.Random(8)
     rows = [(i % 3, rng.gauss(0, 1e6), float(rng.randrange(3)), None, float("nan") if i % 2 else 1.0, 5.0) for i in range(3001)]
