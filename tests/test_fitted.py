@@ -148,6 +148,29 @@ def test_medians_of_columns_and_groups(spark):
     assert medians(df.where("g > 99"), names).collect() == []
 
 
+def test_medians_do_not_multiply_rows_by_columns(spark):
+    from rankpanel.operators import medians as module
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    groups = module._ends(df, ["a", "b"], ["g"])
+    ranges = [(r["_g"], c, 0.0, 1.0) for r in groups.collect() for c in ("a", "b")]
+    counted = module._counted(df, groups, ["g"], ranges, 64)
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and "MapInArrow" in text and counted.agg(F.sum("n")).first()[0] == 6000
+
+
+def test_medians_of_many_groups_and_of_a_null_group(spark, monkeypatch):
+    from rankpanel.operators import medians as module
+
+    df = spark.range(4000).select((F.col("id") % 40).alias("g"), F.rand(1).alias("a"), F.when(F.col("id") % 3 > 0, F.rand(2)).alias("b"))
+    tasks = {(r["g"], r["feature"]): r["median"] for r in medians(df, ["a", "b"], ["g"]).collect()}
+    monkeypatch.setattr(module, "MAX_RANGES", 10)
+    assert len(tasks) == 80 and {(r["g"], r["feature"]): r["median"] for r in medians(df, ["a", "b"], ["g"]).collect()} == tasks
+    monkeypatch.undo()
+    holes = df.withColumn("g", F.when(F.col("g") > 0, F.lit(1)))
+    assert {(r["g"], r["feature"]) for r in medians(holes, ["a", "b"], ["g"]).collect()} == {(g, c) for g in (None, 1) for c in "ab"}
+
+
 def test_median_shuffles_do_not_grow_with_rows(spark):
     df = spark.range(20_000).select((F.col("id") % 7).cast("double").alias("a"), F.rand(1).alias("b"))
     from rankpanel.operators.medians import _bucket, _long
