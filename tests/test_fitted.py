@@ -123,6 +123,26 @@ def test_race_is_the_same_by_tasks_and_by_rows_times_candidates(spark, scores, m
     assert len(rows) > 0 and tasks == pytest.approx(rows, abs=2e-9)
 
 
+@pytest.mark.parametrize("metric", ["spearman", "ndcg"])
+def test_ranking_weights_order_events_in_their_task(spark, scores, metric, monkeypatch):
+    tied = scores.withColumns({c: F.round(c) for c in "abc"}).unionByName(scores.where("Year = 2000 AND Race_Num = 1 AND Driver < 2").withColumn("Year", F.lit(1999)))
+    spark.conf.set("spark.rankpanel.maxGroupRows", "9")
+    try:
+        rows = ensemble.ranking_weights(tied, "y", ["a", "b", "c"], metric=metric).first()
+    finally:
+        spark.conf.unset("spark.rankpanel.maxGroupRows")
+
+    def none(*_):
+        raise AssertionError("rows were multiplied by candidates")
+
+    holes = tied.withColumn("a", F.when(F.col("Driver") > 0, F.col("a")))
+    assert ensemble.ranking_weights(holes, "y", ["a", "b", "c"], metric=metric).first()["score"] is not None
+    monkeypatch.setattr(ensemble, "event_rank_correlation", none)
+    monkeypatch.setattr(ensemble, "event_dcg_ratio", none)
+    tasks = ensemble.ranking_weights(tied, "y", ["a", "b", "c"], metric=metric).first()
+    assert tuple(tasks) == pytest.approx(tuple(rows), abs=2e-9)
+
+
 def test_race_does_not_shuffle_rows_times_candidates(spark, scores):
     vectors = racing.candidates(3, 252, seed=5)
     plan = racing.event_scores(scores, "y", ["a", "b", "c"], "ndcg", vectors, range(len(vectors)), 24)
@@ -213,6 +233,18 @@ def test_pair_derivatives_equal_all_pairs(spark, limit):
         assert (r["gradient"], r["hessian"]) == pytest.approx(want[r["Year"], r["Race_Num"]][r["Driver"]], abs=1e-9)
 
 
+def test_a_tree_shuffles_no_rows(spark, scores):
+    rows = training.vectors(scores, ["a", "b", "c"]).select(*boosting.KEY, "y", "features").withColumn("_score", F.lit(0.0))
+    laid = boosting.laid_out(rows, "y", (10, 240)).persist()
+    assert laid.count() == 240
+    steps = boosting.newton_steps(laid, "y", (10, 240))
+    plan = steps._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange" not in plan and steps.count() == boosting.newton_steps(rows, "y", (10, 240)).count()
+    laid.unpersist()
+    boosting.fit_ranker(rows, ["a", "b", "c"], iterations=7, depth=2)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
 def test_ranker_learns_an_order(spark, scores):
     rows = training.vectors(scores, ["a", "b", "c"])
     ranker = boosting.fit_ranker(rows.where("Year = 2000"), ["a", "b", "c"], val=rows.where("Year = 2001"), iterations=6, depth=3)
