@@ -189,6 +189,60 @@ def test_copies_of_copies(spark):
     assert seen.sum() > 760 and len(apart) <= 1
 
 
+def test_comparisons_follow_a_groups_size(spark, monkeypatch):
+    """Edited copies of one text, many of them too far from it: links are found without meeting all others."""
+    pick = random.Random(6)
+    base = [f"v{pick.randrange(10**6)}" for _ in range(140)]
+    rows = []
+    for _ in range(500):
+        text = list(base)
+        for at in pick.sample(range(140), pick.randint(1, 6)):
+            text[at] = f"u{pick.randrange(10**6)}"
+        rows.append(text)
+    rows += [[*rows[i][:70], "y", *rows[i][71:]] for i in range(0, 500, 25)]  # one edit from a copy
+    compared = []
+    pairs = order_minhash._pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        compared.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "_pairs", counted)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in order_minhash.groups(frame).collect()}
+    s = [set(_shingles(" ".join(w)).tolist()) for w in rows]
+    root = list(range(len(rows)))
+    while True:
+        before = list(root)
+        for i in range(len(rows)):
+            for j in range(i):
+                if root[i] != root[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    assert sum(got[i] != root[i] for i in got) <= 1
+    assert sum(compared) <= 10 * len(rows)
+
+
+def test_needed_is_what_near_texts_share():
+    pick = random.Random(3)
+    met = 0
+    for _ in range(4000):
+        hub = set(range(90))
+        cut = pick.sample(range(90), pick.randint(1, 30))
+        a = hub - set(cut) | set(range(100, 100 + pick.randint(0, 25)))
+        b = hub - set(cut[: pick.randint(0, len(cut))]) | set(range(100, 100 + pick.randint(0, 25)))
+
+        def near(x, y):
+            return len(x & y) >= 0.8 * len(x | y)
+
+        if near(a, b) and not near(a, hub):
+            met += 1
+            assert len((a ^ hub) & (b ^ hub)) >= order_minhash.needed(len(b ^ hub), len(b), 90)
+    assert met > 100
+
+
 def test_vector_links(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal(32)
