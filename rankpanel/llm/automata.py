@@ -159,21 +159,21 @@ def paths(a: Automaton):
 
 def dump(a: Automaton) -> list[bytes]:
     text = zstandard.ZstdCompressor(level=3).compress(b" ".join(a.labels.words.tolist()))
-    head = [blocks.pack(a.labels.keys.view(np.int64)), blocks.pack(a.labels.counts, False), blocks.pack(a.labels.langs, False), text]
+    head = [blocks.pack(a.labels.keys.view(np.int64)), blocks.pack(a.labels.counts, False), blocks.pack_few(a.labels.langs), text]
     body = [blocks.pack(a.first.view(np.int64)), blocks.pack(a.pair.ravel(), False), blocks.pack(a.weights[0], False)]
     return [*head, *body, *[x for arc, w in zip(a.arcs, a.weights[1:]) for x in (blocks.pack(arc), blocks.pack(w, False))]]
 
 
-def spelled(keys: np.ndarray, packed: bytes) -> np.ndarray:
-    out = np.empty(len(keys), dtype=object)
-    if len(keys):
+def spelled(n: int, packed: bytes) -> np.ndarray:
+    out = np.empty(n, dtype=object)
+    if n:
         out[:] = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
     return out
 
 
 def load(data: list[bytes]) -> Automaton:
     keys = blocks.unpack(data[0]).view(np.uint64)
-    labels = Labels(keys, blocks.unpack(data[1], False), blocks.unpack(data[2], False), spelled(keys, data[3]))
+    labels = Labels(keys, blocks.unpack(data[1], False), blocks.unpack_few(data[2]), spelled(len(keys), data[3]))
     tail = data[7:]
     return Automaton(
         labels, blocks.unpack(data[4]).view(np.uint64), blocks.unpack(data[5], False).reshape(-1, 2), [blocks.unpack(x) for x in tail[::2]],

@@ -43,6 +43,18 @@ def unpack(data: bytes, ordered: bool = True) -> np.ndarray:
     return np.cumsum(values) if ordered else values
 
 
+def pack_few(values: np.ndarray) -> bytes:
+    """Integers of which few are distinct, as places in their list."""
+    distinct, which = np.unique(values, return_inverse=True)
+    return pack(np.concatenate([[len(distinct)], distinct, which]), False)
+
+
+def unpack_few(data: bytes) -> np.ndarray:
+    values = unpack(data, False)
+    first = int(values[0]) + 1
+    return values[1:first][values[first:]]
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of their counts."""
     if not len(keys):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from rankpanel.llm import automata, blocks, words
 from rankpanel.llm.automata import Labels
-from rankpanel.llm.tables import arrow_rows, discard, ship_package
+from rankpanel.llm.tables import arrow_rows, discard, ship_package, short_shuffles
 from rankpanel.session import join_small, materialize, shuffle_partitions
 
 MAX_WORDS, LEAST, TOP = 5, 100, 2000
@@ -70,6 +70,21 @@ def unpack_sequence(ranks: bytes, by_rank: bytes) -> np.ndarray:
     return blocks.unpack(by_rank, False)[blocks.unpack(ranks, False)]
 
 
+def word_keys(hashes: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """The keys of words, given their hashes and the codes of their languages."""
+    key = words.mixed(hashes ^ words.mixed(langs.view(np.uint64) ^ _LANG))
+    key[key == 0] = 1  # zero marks the end of a phrase
+    return key
+
+
+def known_words(langs: bytes, spelled: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, language codes and spellings of a shard's words, in the order of their keys, which are made again."""
+    codes = blocks.unpack_few(langs)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(spelled), np.uint8)
+    begin, end, _ = words.spans(data, np.array([0, len(data)]))
+    return word_keys(words.hashes(data, begin, end), codes), codes, automata.spelled(len(codes), spelled)
+
+
 class _Shard:
     """The word sequence of a shard, gathered text unit by text unit."""
 
@@ -91,8 +106,7 @@ class _Shard:
             return
         doc = np.repeat(np.arange(len(per)), per)
         code = np.array([lang_key(x) for x in langs], dtype=np.int64)
-        key = words.mixed(words.hashes(data, begin, end) ^ words.mixed(code.view(np.uint64) ^ _LANG)[doc])
-        key[key == 0] = 1  # zero marks the end of a phrase
+        key = word_keys(words.hashes(data, begin, end), code[doc])
         breaks = np.searchsorted(np.flatnonzero(_BREAK[data]), begin)
         self.new.append(np.append(True, (breaks[1:] != breaks[:-1]) | (doc[1:] != doc[:-1])))
         self.keys.append(key)
@@ -110,7 +124,7 @@ class _Shard:
         spelled = zstandard.ZstdCompressor(level=3).compress(b" ".join(found[2][at].tolist()))
         # Zero before each piece; words count from 1.
         sequence = np.insert(which + 1, np.flatnonzero(new), 0)
-        shard = [blocks.pack(distinct.view(np.int64)), blocks.pack(found[1][at], False), spelled, *pack_sequence(sequence, len(distinct))]
+        shard = [blocks.pack_few(found[1][at]), spelled, *pack_sequence(sequence, len(distinct))]
         langs = [{"lang": lang_key(k), "name": k, "words": n} for k, n in self.langs.items()]
         yield {"block": number, "shard": shard, "langs": langs}
         for part, keys, counts in blocks.by_part(*blocks.summed(distinct.view(np.int64), often), parts):
@@ -170,20 +184,19 @@ def _reduced(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (known, count, number), batch, i in _told(batches):
             shard = [x.as_py() for x in batch.column(3)[i].values]
-            keys = blocks.unpack(shard[0]).view(np.uint64)
+            keys, langs, spellings = known_words(*shard[:2])
             kept = np.isin(keys, known.view(np.uint64))
-            some, langs = keys[kept], blocks.unpack(shard[1], False)[kept]
             # Answers come in signed order, words in unsigned order.
-            at = np.searchsorted(known, some.view(np.int64))
+            at = np.searchsorted(known, keys[kept].view(np.int64))
             count, number = count[at], number[at]
             place = np.append(0, np.where(kept, np.cumsum(kept), 0))
-            sequence = place[unpack_sequence(*shard[3:5])]
-            spelled = b" ".join(automata.spelled(keys, shard[2])[kept].tolist())
+            sequence = place[unpack_sequence(*shard[2:4])]
+            spelled = b" ".join(spellings[kept].tolist())
             # Runs of zeros part the sequence as one zero does.
             sequence = sequence[np.append(sequence[:-1] | sequence[1:], 1) > 0] if len(sequence) else sequence
             at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
             pairs, often = np.unique(pair_codes(number, sequence, at), return_counts=True)
-            small = [blocks.pack(some.view(np.int64)), blocks.pack(count, False), blocks.pack(langs, False), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(number, False), *pack_sequence(sequence, len(some))]
+            small = [blocks.pack_few(langs[kept]), zstandard.ZstdCompressor(level=3).compress(spelled), blocks.pack(count, False), blocks.pack(number, False), *pack_sequence(sequence, len(number))]
             yield pa.RecordBatch.from_pylist([{"block": block, "shard": small}], _REDUCED_ARROW)
             for part, packed, counts in blocks.by_part(pairs, often, parts):
                 yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "keys": packed, "counts": counts}], _REDUCED_ARROW)
@@ -224,9 +237,9 @@ def _transducers(ranges: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (pairs, _, _), batch, i in _told(batches):
             shard = [x.as_py() for x in batch.column(3)[i].values]
-            keys = blocks.unpack(shard[0]).view(np.uint64)
-            labels = Labels(keys, blocks.unpack(shard[1], False), blocks.unpack(shard[2], False), automata.spelled(keys, shard[3]))
-            number, sequence = blocks.unpack(shard[4], False), unpack_sequence(*shard[5:7])
+            keys, langs, spellings = known_words(*shard[:2])
+            labels = Labels(keys, blocks.unpack(shard[2], False), langs, spellings)
+            number, sequence = blocks.unpack(shard[3], False), unpack_sequence(*shard[4:6])
             at = np.flatnonzero((sequence[:-1] > 0) & (sequence[1:] > 0))
             built = automata.build(labels, *windows(sequence, keys, pair_codes(number, sequence, at), pairs, longest))
             for r, part in automata.cut(built, ranges):
@@ -355,19 +368,25 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = MAX_WORDS) -> Da
     ship_package(spark)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    asks = F.col("part").isNotNull()
+    # What a step no longer needs goes before the next one writes.
     with arrow_rows(spark, ROWS):
-        shards = materialize(rows.mapInArrow(_shards(parts), SHARDS), "shards")
-    asked, sequences = shards.where(F.col("part").isNotNull()), shards.where(F.col("part").isNull())
-    told = blocks.frequent(asked, parts, least)
-    with arrow_rows(spark, BATCH):
-        reduced = materialize(_meet(told, sequences.select("block", "shard"), parts).mapInArrow(_reduced(parts), REDUCED), "reduced")
-    langs = materialize(_languages(shards), "languages")
-    discard(shards)
-    asked, sequences = reduced.where(F.col("part").isNotNull()), reduced.where(F.col("part").isNull())
-    told = blocks.frequent(asked, parts, least, values=False)
-    with arrow_rows(spark, BATCH):
-        cuts = _meet(told, sequences.select("block", "shard"), parts).mapInArrow(_transducers(parts, longest), "range int, automaton array<binary>")
+        shards = materialize(rows.mapInArrow(_shards(parts), SHARDS).withColumn("asks", asks), "shards", ("asks",))
+    with arrow_rows(spark, BATCH), short_shuffles(spark):
+        told = materialize(blocks.frequent(shards.where("asks"), parts, least), "told-words")
+        discard(shards, "/asks=true")
+        sequences = shards.where("NOT asks")
+        met = _meet(told, sequences.select("block", "shard"), parts)
+        reduced = materialize(met.mapInArrow(_reduced(parts), REDUCED).withColumn("asks", asks), "reduced", ("asks",))
+        langs = materialize(_languages(sequences), "languages")
+        discard(shards)
+        discard(told)
+        told = materialize(blocks.frequent(reduced.where("asks"), parts, least, values=False), "told-pairs")
+        discard(reduced, "/asks=true")
+        cuts = _meet(told, reduced.where("NOT asks").select("block", "shard"), parts).mapInArrow(_transducers(parts, longest), "range int, automaton array<binary>")
         found = materialize(cuts.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_united(least), CANDIDATES), "candidates")
+        discard(reduced)
+        discard(told)
     tails = found.where(F.size("words") > 2).select("id", "words", "weights").mapInArrow(_tails(parts, longest), "range int, id long, cut int, tail array<long>, n long")
     known = found.select((F.col("range") * 2).alias("place"), "id", "words", F.lit(0).alias("cut"), F.element_at("weights", -1).alias("n"))
     both = known.unionByName(tails.select((F.col("range") * 2 + 1).alias("place"), "id", F.col("tail").alias("words"), "cut", "n"))

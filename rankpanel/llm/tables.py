@@ -37,19 +37,31 @@ def ship_package(spark: SparkSession) -> None:
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Small Arrow batches for jobs run inside, whose rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows):
+        yield
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their job ends; for jobs inside that each run once, their results written."""
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        yield
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str | int) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def discard(written: DataFrame) -> None:
-    """Delete a written scratch table that what comes next, itself written, no longer needs."""
+def discard(written: DataFrame, within: str = "") -> None:
+    """Delete a written scratch table, or its partition ``within``, that what comes next, itself written, no longer needs."""
     spark = written.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles() if "/rankpanel-" in f}:
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles() if "/rankpanel-" in f and within in f}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 
 from rankpanel.llm import automata, collocations
 from rankpanel.llm.automata import Labels
+from rankpanel.session import materialize
 
 SHAPE = "doc_id long, text string, lang string, words int, range int, id long"
 
@@ -68,6 +71,34 @@ def test_phrases_of_one_word_repeated(spark):
     compare(spark, [("ha " * 40, "en"), ("ha " * 40, "en"), ("ha ha. ha", None)])
 
 
+def test_finished_tables_and_shuffles_are_dropped(spark, monkeypatch):
+    written = []
+
+    def noted(df, label, partition_by=()):
+        out = materialize(df, label, partition_by)
+        written.append((label, [Path(urlsplit(f).path) for f in out.inputFiles()]))
+        return out
+
+    monkeypatch.setattr(collocations, "materialize", noted)
+    compare(spark, [("to be or not to be", "en")] * 5 + [("to be", "de"), (None, None)])
+    left = {label for label, files in written if any(f.exists() for f in files)}
+    assert "candidates" in left and not left & {"shards", "reduced", "told-words", "told-pairs"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_shards_carry_words_once():
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range(20000)).encode()
+    shard = collocations._Shard()
+    shard.add(text, np.array([0, len(text)]), ["en"])
+    row = next(shard.rows(0, 4))
+    keys, langs, spelled = collocations.known_words(*row["shard"][:2])
+    assert (np.diff(keys) > 0).all() and len(keys) == len(set(text.split())) and set(langs) == {collocations.lang_key("en")}
+    assert set(spelled) == set(text.split()) and set(keys) == set(np.concatenate(shard.keys))
+    # Without keys, and languages as places, words cost about their spelling.
+    assert sum(map(len, row["shard"][:2])) < 4 * len(keys)
+
+
 def test_phrases_of_empty_and_rare_tables(spark):
     assert collocations.phrases(spark.createDataFrame([], SHAPE), 2).collect() == []
     compare(spark, [("all words differ here", "en"), (None, None)], 2)
