@@ -120,16 +120,19 @@ def current_form(spark: SparkSession, out: str) -> DataFrame:
 
 
 #: Rows of one leaf of a driver's kept history.
-LEAF = 64
+LEAF = 256
+#: Keys that drivers are dealt to, so that a call serves several of them, and rows of a frame such a call yields.
+KEYS, FRAME = 1 << 12, 1 << 16
 
 
 class FormProcessor(StatefulProcessor):
     """Keyed state of a driver: results in order, in leaves of at most ``LEAF`` rows.
 
-    An arrived result touches its own leaf and as many neighbours as the form
-    window reaches into, so what a batch reads follows its own rows and not the
-    batches before it. Results may come in any order; the newest version of one
-    replaces the older ones.
+    A history of one leaf lies in the index itself, so a batch reads and writes one
+    value. Of a longer one an arrived result touches its own leaf and as many
+    neighbours as the form window reaches into, so what a batch reads follows its
+    own rows and not the batches before it. Results may come in any order; the
+    newest version of one replaces the older ones.
     """
 
     def __init__(self, rows: int):
@@ -137,23 +140,34 @@ class FormProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.leaves = handle.getMapState("leaves", "leaf long", "seqs array<long>, positions array<double>")
-        self.index = handle.getValueState("index", "firsts array<long>, ids array<long>, version long")
+        self.index = handle.getValueState("index", "firsts array<long>, ids array<long>, version long, seqs array<long>, positions array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).drop_duplicates("seq", keep="last").sort_values("seq")
-        known = self.index.get()
+        latest: dict[int, float | None] = {}
+        for part in rows:
+            for seq, position in zip(part["seq"].tolist(), part["Position"].tolist()):
+                latest[seq] = None if position != position else position  # NaN is a missing value
+        changed, version = self.applied(latest, self.index, self.leaves)
+        yield _frame([(key[0], seq, form, version) for seq, form in changed])
+
+    def applied(self, latest: dict[int, float | None], index, kept) -> tuple[list[tuple[int, float | None]], int]:
+        """Take a driver's arrived results into its state: (seq, form) of all results they change, and the version."""
+        arrived = sorted(latest)
+        known = index.get()
         firsts, ids, version = (list(known[0]), list(known[1]), known[2]) if known else ([], [], 0)
         held: dict[int, tuple[list[int], list[float | None]]] = {}
+        if len(ids) == 1:
+            held[ids[0]] = (list(known[3]), list(known[4]))
+        stored = len(ids) > 1
         dirty: set[int] = set()
 
         def leaf(at: int) -> tuple[list[int], list[float | None]]:
             if ids[at] not in held:
-                seqs, positions = self.leaves.getValue((ids[at],))
+                seqs, positions = kept.getValue((ids[at],))
                 held[ids[at]] = (list(seqs), list(positions))
             return held[ids[at]]
 
-        for seq, position in zip(arrived["seq"].tolist(), arrived["Position"].tolist()):
-            position = None if position != position else position  # NaN is a missing value
+        for seq in arrived:
             if not ids:
                 firsts, ids = [seq], [0]
                 held[0] = ([], [])
@@ -161,10 +175,10 @@ class FormProcessor(StatefulProcessor):
             seqs, positions = leaf(at)
             i = bisect.bisect_left(seqs, seq)
             if i < len(seqs) and seqs[i] == seq:
-                positions[i] = position
+                positions[i] = latest[seq]
             else:
                 seqs.insert(i, seq)
-                positions.insert(i, position)
+                positions.insert(i, latest[seq])
             dirty.add(ids[at])
             firsts[at] = seqs[0]
             if len(seqs) > LEAF:
@@ -174,8 +188,8 @@ class FormProcessor(StatefulProcessor):
                 firsts.insert(at + 1, held[fresh][0][0])
                 ids.insert(at + 1, fresh)
                 dirty.add(fresh)
-        changed = {}
-        for seq in arrived["seq"].tolist():
+        changed: dict[int, float | None] = {}
+        for seq in arrived:
             at = max(0, bisect.bisect_right(firsts, seq) - 1)
             i = bisect.bisect_left(leaf(at)[0], seq)
             # The result itself and the ones whose window it is in; before them, the rows their windows reach.
@@ -193,21 +207,75 @@ class FormProcessor(StatefulProcessor):
                     at, i = at + 1, 0
                 if at >= len(ids):
                     break
-                values = [x for x in before if x is not None]
-                changed[leaf(at)[0][i]] = sum(values) / len(values) if values else None
-                before = [*before, leaf(at)[1][i]][-self.rows :]
+                seqs, positions = leaf(at)
+                if seqs[i] not in changed:
+                    values = [x for x in before if x is not None]
+                    changed[seqs[i]] = sum(values) / len(values) if values else None
+                before = [*before, positions[i]][-self.rows :]
                 i += 1
-        for x in dirty:
-            self.leaves.updateValue((x,), held[x])
         version += 1
-        self.index.update((firsts, ids, version))
-        out = sorted(changed.items())
-        yield pd.DataFrame({"Driver": [key[0]] * len(out), "seq": [s for s, _ in out], "form": pd.Series([f for _, f in out], dtype="float64"), "version": [version] * len(out)})
+        if len(ids) == 1:
+            index.update((firsts, ids, version, *held[ids[0]]))
+        else:
+            for x in dirty if stored else ids:
+                kept.updateValue((x,), held[x])
+            index.update((firsts, ids, version, None, None))
+        return sorted(changed.items()), version
 
     def close(self) -> None:
         pass
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    drivers, seqs, forms, versions = zip(*rows) if rows else ((), (), (), ())
+    return pd.DataFrame({"Driver": pd.Series(drivers, dtype="object"), "seq": pd.Series(seqs, dtype="int64"), "form": pd.Series(forms, dtype="float64"), "version": pd.Series(versions, dtype="int64")})
+
+
+class _Value:
+    """A driver's entry in a map state."""
+
+    def __init__(self, state, driver: int):
+        self.state, self.driver = state, driver
+
+    def get(self):
+        return self.state.getValue((self.driver,))
+
+    def update(self, value: tuple) -> None:
+        self.state.updateValue((self.driver,), value)
+
+
+class _Leaves(_Value):
+    def getValue(self, key: tuple) -> tuple:
+        return self.state.getValue((self.driver, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.state.updateValue((self.driver, *key), value)
+
+
+class DealtFormProcessor(FormProcessor):
+    """The same state for the drivers dealt to one key (null for those of null driver): a call costs far more than a driver's results."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.leaves = handle.getMapState("leaves", "driver long, leaf long", "seqs array<long>, positions array<double>")
+        self.index = handle.getMapState("index", "driver long", "firsts array<long>, ids array<long>, version long, seqs array<long>, positions array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        none = key[0] is None
+        arrived: dict[int, dict[int, float | None]] = {}
+        for part in rows:
+            drivers = [0] * len(part) if none else part["Driver"].tolist()
+            for driver, seq, position in zip(drivers, part["seq"].tolist(), part["Position"].tolist()):
+                arrived.setdefault(driver, {})[seq] = None if position != position else position
+        out: list[tuple] = []
+        for driver, latest in arrived.items():
+            changed, version = self.applied(latest, _Value(self.index, driver), _Leaves(self.leaves, driver))
+            out += [(None if none else driver, seq, form, version) for seq, form in changed]
+            if len(out) >= FRAME:
+                yield _frame(out)
+                out = []
+        yield _frame(out)
+
+
 def keyed_form(stream: DataFrame, out: str, checkpoint: str, rows: int = 3) -> None:
     """Like ``online_form``, as keyed state: every batch reads only the leaves its results fall into.
 
@@ -221,8 +289,9 @@ def keyed_form(stream: DataFrame, out: str, checkpoint: str, rows: int = 3) -> N
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        formed = stream.select("Driver", "seq", "Position").groupBy("Driver").transformWithStateInPandas(
-            FormProcessor(rows), "Driver long, seq long, form double, version long", outputMode="Append", timeMode="None"
+        dealt = F.when(F.col("Driver").isNotNull(), F.pmod(F.xxhash64("Driver"), F.lit(KEYS))).alias("dealt")
+        formed = stream.select(dealt, "Driver", "seq", "Position").groupBy("dealt").transformWithStateInPandas(
+            DealtFormProcessor(rows), "Driver long, seq long, form double, version long", outputMode="Append", timeMode="None"
         )
         query = formed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()

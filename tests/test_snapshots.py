@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -12,7 +13,7 @@ from rankpanel.operators import features as ft
 from rankpanel.operators import snapshots, store
 from rankpanel.session import scratch_path
 from rankpanel.streaming import ingest
-from rankpanel.streaming.ingest import LEAF, FormProcessor
+from rankpanel.streaming.ingest import LEAF, DealtFormProcessor, FormProcessor
 from tests.conftest import SF
 
 
@@ -120,3 +121,50 @@ def test_form_state_in_any_order_reads_few_leaves():
         assert (latest[s] == pytest.approx(want)) if want is not None else latest[s] != latest[s]
     # Five results touch at most three leaves each, however many came before.
     assert max(reads) <= 15 and all(len(v[0]) <= LEAF for v in p.leaves.d.values())
+
+
+class CountedMap(Map):
+    def __init__(self):
+        super().__init__()
+        self.writes = 0
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.d.get(k)
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self.d[k] = v
+
+
+def test_dealt_drivers_share_a_call_and_one_value_each():
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [(d, s, float(rng.randrange(1, 20))) for d in range(40) for s in range(84)]
+    rng.shuffle(rows)
+    p = DealtFormProcessor(3)
+    p.leaves, p.index = CountedMap(), CountedMap()
+    latest, frames = {}, 0
+    for lo in range(0, len(rows), 1000):
+        part = pd.DataFrame(rows[lo : lo + 1000], columns=["Driver", "seq", "Position"])
+        p.index.reads = p.index.writes = 0
+        for out in p.handleInputRows((7,), iter([part[:400], part[400:]]), None):
+            frames += 1
+            latest |= {(r.Driver, r.seq): r.form for r in out.itertuples()}
+        assert p.index.reads == p.index.writes == part["Driver"].nunique() and p.leaves.reads == p.leaves.writes == 0
+    assert frames == math.ceil(len(rows) / 1000)
+    truth = {(d, s): x for d, s, x in rows}
+    for d, s, _ in rows:
+        values = [truth[d, x] for x in range(max(0, s - 3), s)]
+        assert latest[d, s] == pytest.approx(sum(values) / len(values)) if values else latest[d, s] != latest[d, s]
+
+
+def test_dealt_drivers_without_a_number():
+    import pandas as pd
+
+    p = DealtFormProcessor(3)
+    p.leaves, p.index = CountedMap(), CountedMap()
+    part = pd.DataFrame({"Driver": [None, None], "seq": [2, 1], "Position": [4.0, 6.0]})
+    (out,) = p.handleInputRows((None,), iter([part]), None)
+    assert out["Driver"].tolist() == [None, None] and out["seq"].tolist() == [1, 2] and out["form"].tolist()[1] == 6.0
