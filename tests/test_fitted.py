@@ -309,3 +309,41 @@ def test_classifier_calibration_uses_other_rows(spark, scores):
     classifier, calibrator = fitted.calibrated_dnf(rows.where("Year = 2000"), rows.where("Year = 2001"))
     assert isinstance(classifier, type(LogisticRegression(labelCol="y").fit(rows.withColumn("y", F.col("DNF").cast("double")))))
     assert calibrator.boundaries.size > 0
+
+
+def test_fits_side_by_side_stay_within_the_memory(spark):
+    room = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().head()._1()
+    row = training.ROW_OBJECTS + 4 * (36 + 12)
+    few, two, many = 1000, int(training.FIT_SHARE * room / row / 2.5), int(room / row * 3)
+    assert [training.fits_at_once(spark, n, 36, 12) for n in (0, few, two, many)] == [4, 4, 2, 1]
+
+
+def test_search_runs_as_many_fits_as_a_fold_allows():
+    import threading
+    import time
+
+    lock, running, most = threading.Lock(), {}, {}
+
+    def slow(params, fold):
+        with lock:
+            running[fold] = running.get(fold, 0) + 1
+            most[fold] = max(most.get(fold, 0), running[fold])
+        time.sleep(0.02)
+        with lock:
+            running[fold] -= 1
+        return bowl(params, fold)
+
+    trials = search.search(SPACE, slow, 3, max_trials=12, seed=3, parallelism=[4, 2, 1])
+    assert most[0] > 1 and most[1] <= 2 and most[2] == 1
+    assert [(t.number, t.params, t.losses) for t in trials] == [(t.number, t.params, t.losses) for t in search.search(SPACE, bowl, 3, max_trials=12, seed=3)]
+
+
+def test_ranked_validation_rows_give_the_plain_loss(spark, scores):
+    tied = scores.withColumn("y", F.when((F.col("Year") == 2000) & (F.col("Driver") < 4), F.lit(2.0)).otherwise(F.col("y")))
+    rows = training.vectors(tied, ["a", "b"]).select("Year", "Race_Num", "Driver", "y", "features")
+    train = training.even_parts(rows, "even", rows=50)
+    sizes = [r[0] for r in train.groupBy(F.input_file_name()).count().select("count").collect()]
+    assert train.count() == 240 and len(sizes) >= 4 and max(sizes) < 240 / 2
+    model = LinearRegression(featuresCol="features", labelCol="y").fit(train)
+    plain = training.validation_loss(model.transform(rows), "spearman")
+    assert training.ranked_rows(rows, "ranked").loss(model) == pytest.approx(plain, abs=1e-12)
