@@ -7,9 +7,11 @@ beside its place (``part``, ``file``) and its documents' keys and lengths: so
 any store that Spark writes will do, and files are read back in parallel.
 
 Tokenising works on the distinct pieces of a file: texts are cut before single
-spaces and around single line ends between other characters, where a byte-level
-BPE with the usual word pattern always cuts, so the ids are those of the whole
-text. Ids of pieces are kept between the files of a worker, up to ``KEPT`` pieces.
+spaces, around single line ends between other characters and between a Latin
+letter and a mark, where a byte-level BPE with the usual word pattern always
+cuts, so the ids are those of the whole text. New pieces that are one Latin word are given to the tokenizer's model
+as they are, others to the whole tokenizer. Ids of pieces are kept between the files
+of a worker, up to ``KEPT`` pieces.
 
 Rows: one per input row. Null and empty texts have the end id only; rows of one
 key are ordered by a hash of the text; null keys come first; very long texts
@@ -22,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,32 @@ _WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 #: Lead bytes of the characters outside ASCII that count as white space.
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Second bytes of the signs of multiplication and division, which stand among the letters U+00C0 to U+00FF.
+_SIGNS = np.zeros(256, dtype=bool)
+_SIGNS[[0x97, 0xB7]] = True
+MARKS = b".,;:!?)*#$%"
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of pieces that can be tokenised alone, row starts included."""
+def _byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def marks_table(marks: bytes) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(marks)] = True
+    return table
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+    """Starts of pieces that can be tokenised alone, row starts included; ``marks`` are the bytes before which a letter ends a piece."""
     n = len(data)
     rows = offsets[:-1][np.diff(offsets) > 0]
     at = np.flatnonzero((data == 0x20) | (data == 0x0A))
@@ -55,7 +80,24 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     p1, p2, p3 = data[at - 1], data[at - 2], data[at - 3]
     wide = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p2 == 0x80) & ((p3 == 0xE2) | (p3 == 0xE3))) | ((p3 == 0xE2) & (p2 == 0x81)) | ((p3 == 0xE1) & (p2 == 0x9A))
     at = at[~_WHITE[p1] & ~wide & ~_WHITE[data[at + 1]] & ~_LEAD[data[at + 1]]]
-    return np.unique(np.concatenate([rows, at, at[data[at] == 0x0A] + 1]))
+    cuts = np.zeros(n + 1, dtype=bool)
+    if marks is not None and n > 2:
+        latin = (data[:-2] == 0xC3) & ~_SIGNS[data[1:-1]]
+        cuts[2:n] = marks[data[2:]] & (_LETTER[data[1:-1]] | latin)
+    cuts[rows] = cuts[at] = cuts[at[data[at] == 0x0A] + 1] = True
+    return np.flatnonzero(cuts[:n])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, a place of each, and every row's number among them."""
+    coded = pa.array(keys).dictionary_encode()
+    which, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.empty(len(found), dtype=np.int64)
+    first[which] = np.arange(len(keys))
+    order = np.argsort(found)
+    number = np.empty(len(found), dtype=np.int32)
+    number[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], first[order], number[which]
 
 
 class PieceTokenizer:
@@ -67,37 +109,71 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A mark that stands in an added token does not end a piece.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = marks_table(bytes(b for b in MARKS if b not in "".join(added).encode()))
+        self.by_word = self._by_word(added)
         self.known = np.zeros(0, dtype=np.uint64)
         self.begin, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
-    def _fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _by_word(self, added: list[str]) -> bool:
+        """Whether a word of letters reaches the model as one unchanged piece."""
+        from tokenizers import models, pre_tokenizers
+
+        cut = self.tokenizer.pre_tokenizer
+        plain = self.tokenizer.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        return plain and isinstance(self.tokenizer.model, models.BPE) and not any(t.strip().isalpha() for t in added)
+
+    def _whole(self, some: list[bytes]) -> list[list[int]]:
+        return [d.ids for d in self.tokenizer.encode_batch_fast([b.decode() for b in some], add_special_tokens=False)]
+
+    def _words(self, some: list[bytes]) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(b.decode("latin-1").translate(_BYTE_LETTERS))] for b in some]
+
+    def _fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces in an order of their own, where each piece's begin, and how many they are."""
         raw = data.tobytes()
+        # Words: letters up to U+00FF, with at most one space in front.
+        lead = np.append(data[:-1] == 0xC3, False) & np.append(~_SIGNS[data[1:]], False)
+        letter = _LETTER[data] | lead
+        letter[1:] |= lead[:-1]
+        other = np.concatenate([[0], np.cumsum(~letter)])
+        head = start + (data[start] == 0x20)
+        word = (other[end] == other[head]) & (head < end) & self.by_word
+        order = np.argsort(~word, kind="stable")
+        split = int(word.sum())
         ids, counts = [], []
-        for lo in range(0, len(start), PIECES):  # what the tokenizer returns is large beside the ids
-            some = [raw[a:b].decode() for a, b in zip(start[lo : lo + PIECES].tolist(), end[lo : lo + PIECES].tolist())]
-            got = [d.ids for d in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
-            ids.append(np.fromiter((x for i in got for x in i), dtype=np.int32, count=int(counts[-1].sum())))
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+        for a, b, ids_of in ((0, split, self._words), (split, len(start), self._whole)):
+            for lo in range(a, b, PIECES):  # what the tokenizer returns is large beside the ids
+                some = order[lo : min(lo + PIECES, b)]
+                got = ids_of([raw[s:e] for s, e in zip(start[some].tolist(), end[some].tolist())])
+                counts.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+                ids.append(np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(counts[-1].sum())))
+        count = np.empty(len(start), dtype=np.int64)
+        begin = np.empty(len(start), dtype=np.int64)
+        count[order] = placed = np.concatenate([np.zeros(0, np.int64), *counts])
+        begin[order] = np.cumsum(placed) - placed
+        return np.concatenate([np.zeros(0, np.int32), *ids]), begin, count
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the number of ids of each row."""
-        start = cut_points(data, offsets)
+        start = cut_points(data, offsets, self.marks)
         if not len(start):
             return np.zeros(0, dtype=np.int32), np.zeros(len(offsets) - 1, dtype=np.int64)
         end = np.append(start[1:], len(data))
-        key, first, which = np.unique(words.hashes(data, start, end), return_index=True, return_inverse=True)
+        key, first, which = _distinct(words.hashes(data, start, end))
         at = np.searchsorted(self.known, key)
         have = np.zeros(len(key), dtype=bool)
         inside = at < len(self.known)
         have[inside] = self.known[at[inside]] == key[inside]
         new = np.flatnonzero(~have)
-        ids, count = self._fresh(data, start[first[new]], end[first[new]])
+        ids, begin, count = self._fresh(data, start[first[new]], end[first[new]])
         pool = np.concatenate([self.ids, ids])
         begin_of, count_of = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=np.int64)
         begin_of[have], count_of[have] = self.begin[at[have]], self.count[at[have]]
-        begin_of[new], count_of[new] = len(self.ids) + np.cumsum(count) - count, count
+        begin_of[new], count_of[new] = len(self.ids) + begin, count
         long = count_of[which]
         source = np.repeat(begin_of[which] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
         per_row = np.add.reduceat(np.append(long, 0), np.minimum(np.searchsorted(start, offsets[:-1]), len(long))) * (np.diff(offsets) > 0)

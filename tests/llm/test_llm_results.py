@@ -326,6 +326,31 @@ def test_pieces_tokenise_like_the_whole():
         at += n
 
 
+def test_new_pieces_are_words_without_their_marks():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from rankpanel.llm.tokens import PieceTokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, pieces = Tokenizer.from_file(path), PieceTokenizer(path)
+    rng = random.Random(3)
+    parts = [" ", " ", "a", "word", "Über", "élan", "×", "÷", "ß", "\u0301", "'s", "'ll", ".", ",", "!!", "***", "?)", "3", "x2", "\n", "\t", "<|endoftext|>", "—", "日本", "\u00a0", "$", "%%", "|", "Ā", ":"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    ids, count = pieces.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    fresh = PieceTokenizer(path)
+    whole, met = fresh._whole, []
+    fresh._whole = lambda some: met.extend(some) or whole(some)
+    text = b"one two, two. Two! \xc3\xa9lan, \xc3\xa9lan one, one?"
+    fresh.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert sorted(met) == [b"!", b",", b".", b"?"] and len(fresh.known) == 9
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x", "text\nReleased under the MIT License.\nmore text"), (3, "a/b/y", "nothing"),
