@@ -347,3 +347,61 @@ def test_ranked_validation_rows_give_the_plain_loss(spark, scores):
     model = LinearRegression(featuresCol="features", labelCol="y").fit(train)
     plain = training.validation_loss(model.transform(rows), "spearman")
     assert training.ranked_rows(rows, "ranked").loss(model) == pytest.approx(plain, abs=1e-12)
+
+
+@pytest.mark.parametrize("limit", [None, "7"])
+def test_ranker_equals_one_grown_row_by_row(spark, scores, limit, monkeypatch):
+    names = ["a", "b", "c"]
+    tied = scores.withColumns({"y": F.when((F.col("Race_Num") == 4) & (F.col("Driver") < 4), F.lit(2.0)).otherwise(F.col("y")), "c": F.round(F.col("c") / 4)})
+    rows = training.vectors(tied, names)
+    drawn, bin_limits = [], boosting.bin_limits
+    monkeypatch.setattr(boosting, "bin_limits", lambda *a: drawn.append(bin_limits(*a)) or drawn[-1])
+    if limit:
+        spark.conf.set("spark.rankpanel.maxGroupRows", limit)
+    try:
+        ranker = boosting.fit_ranker(rows, names, val=rows, iterations=7, patience=99, depth=3)
+    finally:
+        spark.conf.unset("spark.rankpanel.maxGroupRows")
+    data = tied.orderBy("Year", "Race_Num", "Driver").toPandas()
+    x, score, trace = data[names].to_numpy(), np.zeros(len(data)), []
+
+    def grown(at, g, h, depth, limits):
+        best, whole = None, g[at].sum() ** 2 / h[at].sum()
+        for f in range(3 if depth else 0):
+            for t in limits[f]:
+                left = x[at, f] <= t
+                if left.any() and not left.all():
+                    gained = sum(g[at[m]].sum() ** 2 / h[at[m]].sum() for m in (left, ~left)) - whole
+                    if gained > 1e-9 and (best is None or gained > best[0] * (1 + 1e-9)):
+                        best = gained, at[left], at[~left]
+        if best is None:
+            score[at] += 0.3 * -g[at].sum() / h[at].sum()
+        else:
+            for part in best[1:]:
+                grown(part, g, h, depth - 1, limits)
+
+    for _ in range(7):
+        g, h = np.zeros(len(data)), np.zeros(len(data))
+        for _, event in data.groupby(["Year", "Race_Num"]):
+            want = direct_derivatives([(i, event["y"][i], score[i]) for i in event.index])
+            for i in event.index:
+                g[i], h[i] = want[i]
+        grown(np.flatnonzero(h > 0), g, h, 3, drawn[0])
+        ratio = []
+        for _, event in data.assign(s=score).groupby(["Year", "Race_Num"]):
+            dcg = [sum((2 ** (1 / max(1, p)) - 1) / math.log2(i + 2) for i, p in enumerate(event.sort_values([by, "Driver"], ascending=[up, True])["y"])) for by, up in (("s", False), ("y", True))]
+            ratio.append(dcg[0] / dcg[1])
+        trace.append(np.mean(ratio))
+    kept = int(np.argmax(trace)) + 1
+    assert len(ranker.trees) == kept and ranker.trace == pytest.approx(trace[:kept], abs=1e-9)
+    if kept == 7:
+        got = ranker.transform(rows).orderBy("Year", "Race_Num", "Driver").select("prediction").toPandas()["prediction"].to_numpy()
+        assert got == pytest.approx(score, abs=1e-9)
+
+
+def test_ranker_keeps_a_row_per_event(spark, scores, monkeypatch):
+    made = []
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, *more: made.append(rows.count()) or grow(rows, *more))
+    boosting.fit_ranker(training.vectors(scores, ["a", "b", "c"]), ["a", "b", "c"], iterations=2, depth=2)
+    assert made == [24, 24]
